@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from redactrix.llm.queries_a import ORACLE_SQL as _SQL_A
-from redactrix.llm.queries_a import QUERIES as _A
+from redactrix.llm import queries_a, queries_b
 
-QUERIES = {**_A}
-ORACLE_SQL = {**_SQL_A}
+QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES}
+ORACLE_SQL = {**queries_a.ORACLE_SQL, **queries_b.ORACLE_SQL}
