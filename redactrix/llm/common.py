@@ -57,6 +57,10 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def again(self, table: DataFrame) -> DataFrame:
+        """The same written table as a relation of its own, for joining a table with itself."""
+        return self.spark.read.schema(table.schema).parquet(table._scratch_path)
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             _delete(self.spark, t._scratch_path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactrix.llm import licenses, pieces
+from redactrix.llm import embeddings, licenses, pieces, quality_model
 from redactrix.llm.common import table
 
 
@@ -44,5 +44,29 @@ def op9_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(table(spark, sf_dir, "documents"), model_path())
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op9_piece_round_trip": op9_piece_round_trip}
-ORACLE_SQL = {"op1_license_scan": _op1_sql()}
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP5 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+g AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE label IS NOT NULL AND x IS NOT NULL
+  AND len(list_filter(x, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.98::DOUBLE),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*)::BIGINT AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+MIN_SCORE = 0.3
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= MIN_SCORE).cast("int").alias("predicted"))
+
+
+QUERIES = {"op5_embedding_near_dedup": op5_embedding_near_dedup, "op6_quality_classifier": op6_quality_classifier, "op1_license_scan": op1_license_scan, "op9_piece_round_trip": op9_piece_round_trip}
+ORACLE_SQL = {"op5_embedding_near_dedup": OP5, "op1_license_scan": _op1_sql()}
