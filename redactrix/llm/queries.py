@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from redactrix.llm import queries_a, queries_b
+from redactrix.llm import queries_a, queries_b, queries_c
 
-QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES}
-ORACLE_SQL = {**queries_a.ORACLE_SQL, **queries_b.ORACLE_SQL}
+QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES, **queries_c.QUERIES}
+ORACLE_SQL = {**queries_a.ORACLE_SQL, **queries_b.ORACLE_SQL, **queries_c.ORACLE_SQL}
