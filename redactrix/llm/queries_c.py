@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redactrix.llm import ngram_join
+from redactrix.llm import ngram_join, suffix_dedup
 from redactrix.llm.common import table
 
 
@@ -23,5 +23,26 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN c USING (doc_id)
 """
 
-QUERIES = {"op4_ngram_jaccard_join": op4_ngram_jaccard_join}
-ORACLE_SQL = {"op4_ngram_jaccard_join": OP4}
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
+OP3 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+x AS (SELECT doc_id, h, unnest(range(0, (n + 999) // 1000)) AS c FROM d),
+c1 AS (SELECT doc_id, c, substr(h, 2000 * c + 1, 2198) AS h FROM x),
+y AS (SELECT doc_id, c, h, unnest(range(0, least(1000, strlen(h) // 2 - 99))) AS j FROM c1 WHERE strlen(h) >= 200),
+v AS (SELECT doc_id, 1000 * c + j AS s, md5(substr(h, 2 * j + 1, 200)) AS g FROM y),
+f AS (SELECT doc_id, s FROM v QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
+i AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM f),
+k AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM i),
+r AS (SELECT doc_id, run, min(s) AS b, max(s) + 100 AS e FROM k GROUP BY ALL),
+p AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS x, b AS y FROM r UNION ALL SELECT doc_id, max(e), NULL FROM r GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (coalesce(y, n) - x)), '' ORDER BY x) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+QUERIES = {"op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_ngram_jaccard_join": op4_ngram_jaccard_join}
+ORACLE_SQL = {"op3_suffix_array_dedup": OP3, "op4_ngram_jaccard_join": OP4}
