@@ -1,4 +1,6 @@
 """Registered queries of the de-identification engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from redactrix.plans import constructed, real_text, results
+
+QUERIES = {**real_text.QUERIES, **constructed.QUERIES, **results.QUERIES}
+ORACLE_SQL = {**real_text.ORACLE_SQL, **constructed.ORACLE_SQL, **results.ORACLE_SQL}
