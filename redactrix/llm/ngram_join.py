@@ -130,18 +130,23 @@ def _shared_counts(t: pa.Table) -> pa.Table:
     return pa.table({"s1": pa.array(owner), "k": pa.array(n.astype(np.int64))})
 
 
-def _shared_tokens(t: pa.Table) -> pa.Table:
-    """Of each owner in a bucket, the tokens that another owner has too, and by how many they are held."""
-    token, owner, of, count = _gathered(t)
-    df = count[of] if len(token) else np.zeros(0, np.int64)
-    some = df > 1
-    token, owner, df = token[some], owner[some], df[some]
-    order = np.argsort(owner, kind="stable")
-    token, owner, df = token[order], owner[order], df[order].astype(np.int64)
-    cuts = np.flatnonzero(np.diff(owner)) + 1
-    starts, ends = (np.concatenate([[0], cuts]), np.concatenate([cuts, [len(owner)]])) if len(owner) else (cuts, cuts)
-    pack = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())
-    return pa.table({"rep": pa.array(owner[starts]), "tokens": pack(token), "dfs": pack(df)})
+def _shared_tokens(buckets: int):
+    """Of a bucket, the tokens that several owners have, dealt by owner: rows (bucket, tokens, owners, dfs)."""
+
+    def work(t: pa.Table) -> pa.Table:
+        token, owner, of, count = _gathered(t)
+        df = count[of] if len(token) else np.zeros(0, np.int64)
+        some = df > 1
+        token, owner, df = token[some], owner[some], df[some].astype(np.int64)
+        bucket = np.mod(owner, buckets).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        token, owner, df, bucket = token[order], owner[order], df[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        starts, ends = (np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])) if len(bucket) else (cuts, cuts)
+        pack = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())
+        return pa.table({"bucket": pa.array(bucket[starts]), "tokens": pack(token), "owners": pack(owner), "dfs": pack(df)})
+
+    return work
 
 
 def _bits(parts: list[np.ndarray], known: np.ndarray) -> np.ndarray:
@@ -200,6 +205,23 @@ def verified_links(a: Block, b: Block, percent: int) -> list[tuple[int, int]]:
     return _forest(np.concatenate(found_a), np.concatenate(found_b)) if found_a else []
 
 
+def _smallest(forest: list[tuple[int, int]]) -> dict[int, int]:
+    """The smallest id of each linked id's component."""
+    near: dict[int, list[int]] = {}
+    for a, b in forest:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    root: dict[int, int] = {}
+    for start in sorted(near):
+        todo = [] if start in root else [start]
+        while todo:
+            x = todo.pop()
+            if x not in root:
+                root[x] = start
+                todo += near[x]
+    return root
+
+
 def _edges(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
@@ -214,7 +236,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = scratch.write(token_sets(docs, words), "sets")
     shared = _prefixes(docs.filter(F.col("doc_id").isNotNull()), words, percent, buckets).groupBy("bucket").applyInArrow(_shared_counts, "s1 long, k long")
     shared = shared.groupBy("s1").agg(F.sum("k").alias("k"))
@@ -230,25 +252,29 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
                 if len(h):
                     yield _dealt(h[own[t]], rep[i:j][t[own[t]]], buckets)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(fit.select("rep", "s1"), "rep")
-    tokens = texts.mapInArrow(deal, DEALT).groupBy("bucket").applyInArrow(_shared_tokens, "rep long, tokens binary, dfs binary")
-    tokens = tokens.groupBy("rep").agg(F.collect_list(F.struct("tokens", "dfs")).alias("parts")).join(scratch.again(fit).groupBy("rep").agg(F.max("n").alias("n")), "rep")
-
-    def order(batches):
-        for b in batches:
-            out = {"rep": [], "n": [], "u": [], "size": [], "tokens": [], "prefix": []}
-            for rep, n, parts in zip(b.column("rep").to_pylist(), b.column("n").to_pylist(), b.column("parts").to_pylist(), strict=True):
-                token, df = np.frombuffer(b"".join(p["tokens"] for p in parts), U), np.frombuffer(b"".join(p["dfs"] for p in parts), np.int64)
-                if len(token) < least_overlap(n, percent):
-                    continue
-                token = token[np.lexsort((token, df))]
-                for k, v in zip(out, (rep, n, n - len(token), len(token), token.tobytes(), _orders(token, n, percent)[0].view(np.int64)), strict=True):
+    # always a shuffle by id: the sets left grow with the corpus, so they are not broadcast at any size
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").hint("shuffle_merge").join(fit.select("rep", "s1"), "rep")
+    tokens = texts.mapInArrow(deal, DEALT).groupBy("bucket").applyInArrow(_shared_tokens(buckets), DEALT + ", dfs binary")
+
+    def order(t: pa.Table, known: pa.Table) -> pa.Table:
+        """Of a bucket's owners, all that may be similar to another: their tokens, rarest first, and their prefixes."""
+        sizes = dict(zip(known.column("rep").to_pylist(), known.column("n").to_pylist(), strict=True))
+        token, owner, df = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("tokens", U), ("owners", np.int64), ("dfs", np.int64)))
+        by = np.lexsort((token, df, owner))
+        token, owner = token[by], owner[by]
+        out = {"rep": [], "n": [], "u": [], "size": [], "tokens": [], "prefix": []}
+        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, int)
+        for s, e in zip(starts, np.append(starts[1:], len(owner)), strict=True):
+            n, own = sizes[int(owner[s])], token[s:e]
+            if e - s >= least_overlap(n, percent):
+                for k, v in zip(out, (int(owner[s]), n, n - len(own), len(own), own.tobytes(), _orders(own, n, percent)[0].view(np.int64)), strict=True):
                     out[k].append(v)
-            counts = np.array([len(p) for p in out["prefix"]], np.int64)
-            flat = np.concatenate(out["prefix"]) if out["prefix"] else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("rep", "n", "u", "size")), pa.array(out["tokens"], pa.binary()), textnp.list_array(flat, counts)], names=list(out))
+        counts = np.array([len(p) for p in out["prefix"]], np.int64)
+        flat = np.concatenate(out["prefix"]) if out["prefix"] else np.zeros(0, np.int64)
+        return pa.table([*(pa.array(out[k], pa.int64()) for k in ("rep", "n", "u", "size")), pa.array(out["tokens"], pa.binary()), textnp.list_array(flat, counts)], names=list(out))
 
-    full = scratch.write(tokens.mapInArrow(order, "rep long, n long, u long, size long, tokens binary, prefix array<long>"), "full")
+    sizes = scratch.again(fit).groupBy("rep").agg(F.max("n").alias("n")).withColumn("bucket", F.pmod("rep", F.lit(buckets)).cast("int"))
+    full = scratch.write(tokens.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(order, "rep long, n long, u long, size long, tokens binary, prefix array<long>"), "full")
     postings = full.select("rep", "u", F.explode("prefix").alias("token"))
     hubs = scratch.again(full).select("rep", "u", F.explode("prefix").alias("token")).groupBy("token").agg(F.min(F.struct("u", "rep"))["rep"].alias("hub"), F.count("*").alias("c")).filter("c > 1").select("token", "hub")
     near = postings.join(hubs, "token").filter("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
@@ -259,19 +285,22 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     total = sizes.agg(F.sum("s")).first()[0] or 0
 
     def all_of(t: pa.Table) -> pa.Table:
-        pairs, cluster = [], t.column("cluster").to_numpy()
+        """Clusters that fit into a block are done with here: their sets' components."""
+        ids, roots, cluster = [], [], t.column("cluster").to_numpy()
         by = np.argsort(cluster, kind="stable")
         for at in np.split(by, np.flatnonzero(np.diff(cluster[by])) + 1):
             block = Block(t.take(pa.array(at)), percent)
-            pairs += verified_links(block, block, percent)
-        return _edges(pairs)
+            root = _smallest(verified_links(block, block, percent))
+            ids += list(root)
+            roots += list(root.values())
+        return pa.table({"id": pa.array(ids, pa.int64()), "component": pa.array(roots, pa.int64())})
 
     sized = members.join(sizes, "cluster")
-    groups = max(1, -(-int(total) // BLOCK_TOKENS), buckets // 4)
-    links = sized.filter("blocks = 1").withColumn("g", F.pmod(F.xxhash64("cluster"), F.lit(groups))).select("g", "cluster", "rep", "n", "tokens")
-    links = scratch.write(links.groupBy("g").applyInArrow(all_of, "a long, b long"), "links")
+    groups = max(1, -(-int(total) // BLOCK_TOKENS), buckets)
+    small = sized.filter("blocks = 1").withColumn("g", F.pmod(F.xxhash64("cluster"), F.lit(groups))).select("g", "cluster", "rep", "n", "tokens")
+    done = small.groupBy("g").applyInArrow(all_of, "id long, component long")
     if not sizes.filter("blocks > 1").limit(1).count():
-        return _labelled(sets, links, scratch)
+        return _labelled(sets, done, scratch)
 
     def between(left: pa.Table, right: pa.Table) -> pa.Table:
         return _edges(verified_links(Block(left, percent), Block(right, percent), percent) if left.num_rows and right.num_rows else [])
@@ -294,13 +323,13 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     outside = rest.join(rest_blocks, "cluster").select(*columns, every("blocks").alias("block"), salt("rest_blocks").alias("rest_block"))
     inside = scratch.again(labelled).join(scratch.again(rest_blocks), "cluster").select(*columns, "block", every("rest_blocks").alias("rest_block"))
     more = scratch.write(outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(between, "a long, b long"), "more")
-    return _labelled(sets, links.union(by_hubs).union(more), scratch)
+    return _labelled(sets, done.union(components(by_hubs.union(more), scratch)), scratch)
 
 
-def _labelled(sets: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+def _labelled(sets: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """Each row of sets with its component: that of the smallest id with an equal set."""
     rep = scratch.again(sets).filter("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    rep = rep.join(components(links, scratch), F.col("rep") == F.col("id"), "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    rep = rep.join(found, F.col("rep") == F.col("id"), "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     filled = scratch.again(sets).filter("n_shingles > 0").join(rep, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return filled.union(scratch.again(sets).filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
