@@ -194,7 +194,7 @@ FIRST_NAMES = (
     "Регина Светлана София Софья Тамара Татьяна Ульяна Юлия Яна"
 ).split()
 _NAMES_LONGEST_FIRST = "|".join(sorted(FIRST_NAMES, key=len, reverse=True))
-DICTIONARY_FIO = (U + rf"\b(?:{_NAMES_LONGEST_FIRST})\s+{WORD}(?:\s+{WORD})?", U + rf"\b{WORD}\s+(?:{_NAMES_LONGEST_FIRST})\b")
+DICTIONARY_FIO = (U + rf"\b(?=[А-ЯЁ])(?:{_NAMES_LONGEST_FIRST})\s+{WORD}(?:\s+{WORD})?", U + rf"\b{WORD}\s+(?:{_NAMES_LONGEST_FIRST})\b")
 # ---- fixed values: audit, formats, phases ----
 AUDIT_ORDER = (
     ("ТЕЛЕФОН", STRICT_PHONE), ("ТЕЛЕФОН-МЕЖД", INTL_PHONE), ("ТЕЛЕФОН-OCR", OCR_PHONE), ("EMAIL", EMAIL), ("СНИЛС", SNILS), ("ИНН", INN), ("ИДЕНТИФИКАТОР", IDENTIFIER), ("ПАСПОРТ", PASSPORT),
