@@ -59,7 +59,9 @@ class Scratch:
 
     def again(self, table: DataFrame) -> DataFrame:
         """The same written table as a relation of its own, for joining a table with itself."""
-        return self.spark.read.schema(table.schema).parquet(table._scratch_path)
+        out = self.spark.read.schema(table.schema).parquet(table._scratch_path)
+        out._scratch_path = table._scratch_path
+        return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
@@ -84,15 +86,16 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     both = scratch.write(both, "edges")
     labels = scratch.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), "labels")
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
-        low = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", "c").alias("component"))
-        up = labels.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = low.join(up, "component", "left").select("id", "old", F.least("component", "up").alias("component"))
-        new = scratch.write(new, "labels")
+        # one grouped minimum over neighbours' labels and one's own; then one step along the labels as they were
+        near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").select(F.col("a").alias("id"), "c", F.lit(None).cast("long").alias("own"))
+        own = scratch.again(labels).select("id", F.col("component").alias("c"), F.col("component").alias("own"))
+        low = near.union(own).groupBy("id").agg(F.min("c").alias("component"), F.max("own").alias("old"))
+        up = scratch.again(labels).select(F.col("id").alias("component"), F.col("component").alias("up"))
+        new = scratch.write(low.join(up, "component", "left").select("id", F.least("component", "up").alias("component"), "old"), "labels")
         changed = new.filter("component < old").limit(1).count()
         scratch.drop(labels)
         path = new._scratch_path
-        labels = new.select("id", "component")
+        labels = scratch.spark.read.parquet(path).select("id", "component")
         labels._scratch_path = path
         if not changed:
             return labels
