@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,28 +77,59 @@ class Scratch:
             pass
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+#: From this many edges down, what is left of a graph is finished in one task.
+ONE_TASK_EDGES = 250_000
+
+
+def _smallest_reachable(t: pa.Table) -> pa.Table:
+    """(id, component) of the edges (a, b) of one table: roots hook to their smallest neighbour and labels are followed to the end, until no edge joins two roots."""
+    a, b = (t.column(c).to_numpy() for c in ("a", "b"))
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, x, y = np.arange(len(ids)), at[: len(a)], at[len(a) :]
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    return pa.table({"id": pa.array(ids, pa.int64()), "component": pa.array(ids[root], pa.int64())})
+
+
+def components(edges: DataFrame, scratch: Scratch, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as (id, component): the smallest id reachable.
 
-    Each round takes the smallest label among the neighbours (a grouped minimum with map-side combining)
-    and then follows labels once more (pointer jumping), until nothing changes. Rounds are written to
-    the shared folder; nothing is collected but the count of changed rows. No edges: no rows.
+    Each round gives every node the first of itself and its neighbours in an order that is hashed anew, and joins
+    nodes of one representative into one node. A node that comes last among its neighbours represents nobody, and
+    on any graph a constant share of the nodes is expected to go, so rounds grow with the logarithm of the nodes
+    and the graph shrinks from round to round; they go on until it has at most ``one_task`` edges. Rounds are
+    written to the shared folder; nothing is collected but the count of edges. No edges: no rows.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.write(both, "edges")
-    labels = scratch.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), "labels")
-    for _ in range(rounds):
-        # one grouped minimum over neighbours' labels and one's own; then one step along the labels as they were
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").select(F.col("a").alias("id"), "c", F.lit(None).cast("long").alias("own"))
-        own = scratch.again(labels).select("id", F.col("component").alias("c"), F.col("component").alias("own"))
-        low = near.union(own).groupBy("id").agg(F.min("c").alias("component"), F.max("own").alias("old"))
-        up = scratch.again(labels).select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = scratch.write(low.join(up, "component", "left").select("id", F.least("component", "up").alias("component"), "old"), "labels")
-        changed = new.filter("component < old").limit(1).count()
+    ids = lambda t: t.select(F.col("a").alias("id")).union(scratch.again(t).select("b"))
+    once = lambda t: t.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    given = scratch.write(edges.select("a", "b").distinct(), "edges")
+    nodes = scratch.write(ids(given).distinct(), "nodes")
+    left, levels = scratch.write(once(given), "edges"), []
+    scratch.drop(given)
+    while left.count() > one_task:
+        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(levels))).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        both = left.select("a", "b").union(scratch.again(left).select(F.col("b").alias("a"), F.col("a").alias("b")))
+        reps = both.groupBy("a").agg(F.min(order("b")).alias("near")).select(F.col("a").alias("id"), F.least(order("a"), "near")["id"].alias("rep"))
+        levels.append(scratch.write(reps, "reps"))
+        of = lambda c: scratch.again(levels[-1]).select(F.col("id").alias(c), F.col("rep").alias(f"rep_{c}"))
+        joined = left.join(of("a"), "a").select("b", "rep_a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        smaller = scratch.write(once(joined), "edges")
+        scratch.drop(left)
+        left = smaller
+    labels = scratch.write(left.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_smallest_reachable, "id long, component long"), "labels")
+    scratch.drop(left)
+    for reps in [*reversed(levels), nodes.withColumn("rep", F.col("id"))]:
+        to = labels.select(F.col("id").alias("rep"), "component")
+        wider = scratch.write(reps.join(to, "rep", "left").select("id", F.coalesce("component", "rep").alias("component")), "labels")
         scratch.drop(labels)
-        path = new._scratch_path
-        labels = scratch.spark.read.parquet(path).select("id", "component")
-        labels._scratch_path = path
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        labels = wider
+    scratch.drop(nodes, *levels)
+    if not levels:
+        return labels
+    # joined nodes bear the id of any of their own: take the smallest
+    least = scratch.again(labels).groupBy("component").agg(F.min("id").alias("least"))
+    return scratch.write(labels.join(least, "component").select("id", F.col("least").alias("component")), "labels")
