@@ -318,10 +318,9 @@ def doctor_line(spark, sf_dir):
 def label_span(spark, sf_dir):
     from pyspark.sql import Window
 
-    parts = F.split(by_case(F.col("k"), F.lit("адрес|постоянного|проживания"), F.lit("место|жительства"), F.lit("адрес"), F.lit("вес|100")), r"\|")
+    parts = F.split(by_case(F.col("k"), F.lit("регистрация|по месту|жительства"), F.lit("место|жительства"), F.lit("адрес"), F.lit("вес|100")), r"\|")
     rows = customers(spark, sf_dir).select("k", F.posexplode(parts).alias("line_no", "core")).withColumn("norm", F.col("core"))
-    # the longest wording of each label, asked for exactly
-    exact = P.I + r"^(?:адрес постоянного проживания|место жительства|адрес)$"
+    # no line of a label over two or three lines is a label by itself
+    exact = P.I + r"^(?:регистрация по месту жительства|место жительства|адрес)$"
     span = context.label_span(exact, Window.partitionBy("k").orderBy("line_no"))
-    three = F.when((F.col("k") % 4 == 0) & (span == 1), 3).otherwise(span)
-    return rows.withColumn("span", three).filter("line_no = 0").select("k", F.col("span").cast("int").alias("span"))
+    return rows.withColumn("span", span).filter("line_no = 0").select("k", F.col("span").cast("int").alias("span"))
