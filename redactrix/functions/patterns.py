@@ -117,6 +117,27 @@ CROSS_LINE = tuple(U + x for x in (
     rf"\b(?:{WORD}|{UPPER_WORD})[ \t]*\n[ \t]*(?:{WORD}|{UPPER_WORD})[ \t]+(?:{PATRONYMIC}|{UPPER_PATRONYMIC})\b",
     rf"\b(?:{WORD}|{UPPER_WORD})[ \t]+(?:{WORD}|{UPPER_WORD})[ \t]*\n[ \t]*(?:{PATRONYMIC}|{UPPER_PATRONYMIC})\b",
 ))
+# ---- fixed values: the strict pass ----
+STAFF_CONTEXT = I + rf"\b{STAFF_ROLE}\b"
+STAFF_HINT = I + (
+    r"\b(?:зав\.?|зам\.?|гл\.?\s*врач\w*|врач\w*|доктор\w*|медсестр\w*|медбрат\w*|фельдшер\w*|акушер\w*|заведующ\w*|ординатор\w*|интерн\w*|лаборант\w*|подпис\w*"
+    r"|психолог\w*|фармаколог\w*|логопед\w*|методист\w*|инструктор\w*|дежурн\w*|деж\.)"
+)
+SPECIALIST = I + (
+    r"\b(?:анестезиолог|нейрохирург|хирург|физиотерапевт|рефлексотерапевт|психотерапевт|терапевт|кардиолог|невролог|гинеколог|уролог|онколог|рентгенолог|радиолог|эндокринолог|офтальмолог|окулист|оториноларинголог|отоларинголог|психиатр|нарколог|дерматовенеролог|дерматолог"
+    r"|венеролог|инфекционист|ревматолог|пульмонолог|гастроэнтеролог|нефролог|колопроктолог|проктолог|травматолог|ортопед|стоматолог|патологоанатом|фтизиатр|аллерголог|иммунолог|неонатолог|реаниматолог|эпидемиолог|диетолог|гематолог|маммолог|педиатр|диагност)(?:ами|ам|ах|ов|ом|а|у|е|и|ы)?\b|\bлор\b"
+)
+NAME_WITH_INITIALS = U + r"\b([А-ЯЁ][а-яё]{2,})\s*,?\s*[А-ЯЁ]\.\s*[А-ЯЁ]\.?(?![а-яё])"
+INITIALS_WITH_NAME = U + r"\b[А-ЯЁ]\.\s*[А-ЯЁ]\.?\s+([А-ЯЁ][а-яё]{2,})\b"
+CERTIFICATE_LABEL_END = I + r"(?:\bсертификат(?:\s+(?:ключа|электронн\w+\s+подпис\w*))?|\bсерийн\w*\s+номер\s+сертификат\w*)\s*[:№\-]?\s*$"
+CERTIFICATE_VALUE = U + r"^[0-9A-FА-Фа-ф][0-9A-FА-Фа-ф\s:\-]{14,}"
+#: What stays of a name over two lines whose first line is masked by itself.
+PATRONYMIC_BELOW = U + r"\[FIO\][ \t]*\n[ \t]*(?:[А-ЯЁ][а-яё]+(?:ович|евич|овна|евна|инична)|[А-ЯЁ]+(?:ОВИЧ|ЕВИЧ|ОВНА|ЕВНА|ИНИЧНА))\b"
+OCR_UPPER_AGE = r"\d{1,3}\s*(?:ЛЕТ|ГОД(?:А|ОВ)?)"
+OCR_UPPER_DEMOGRAPHICS = U + (
+    r"\b[А-ЯЁ]{3,}(?:-[А-ЯЁ]{2,})?(?:\s+[А-ЯЁ]{3,}(?:-[А-ЯЁ]{2,})?){2}\s*[,;/\-]?\s*"
+    rf"(?:(\d{{1,2}}\s*[.\-/]\s*\d{{1,2}}\s*[.\-/]\s*\d{{2,4}})(?:\s*[,;/\-]?\s*({OCR_UPPER_AGE}))?|({OCR_UPPER_AGE}))\b"
+)
 INITIAL_TOKEN = U + r"(?<![А-Яа-яЁё])[А-ЯЁ]\."
 PATRONYMIC_END = "(?Udi)(?:ович|евич|иевич|ьевич|ич|овна|евна|иевна|ьевна|ична|инична|оглы|кызы)$"
 NON_NAME_END = "(?Udi)(?:ый|ое|ые|ым|ому|ение|ения|ений|ание|ания|аний|ость|ости|ство|ства|ура|уры)$"
