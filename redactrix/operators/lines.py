@@ -15,6 +15,11 @@ def explode_lines(pages: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*[c for c in out.columns if c not in ("line_no", "raw")], (F.col("line_no") + 1).alias("line_no"), core.alias("core"), line_ending(F.col("raw")).alias("ending"), strip(norm(core)).alias("norm"), norm_line(core).alias("lower"))
 
 
+def blank_pages(pages: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, page_no, text) of the pages without a line, null texts as empty ones."""
+    return pages.filter(F.coalesce(F.size(lines_with_ends(F.col(text))), F.lit(0)) <= 0).select("doc_id", "page_no", F.lit("").alias(text))
+
+
 def page_window(*by: str):
     return Window.partitionBy(*(by or ("doc_id", "page_no"))).orderBy("line_no")
 
