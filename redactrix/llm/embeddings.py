@@ -45,7 +45,7 @@ class Index:
         gap = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(2), 0)) if len(self.centres) <= 512 else np.sqrt(np.maximum(_nearest(self.centres, self.centres)[1], 0))
         self.gap = gap
 
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    def place(self, x: np.ndarray, min_cosine: float = MIN_COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Cell, code and coding error of each vector, and the cells that may hold a vector within the radius.
 
         A vector in cell j lies on j's side of the plane midway between j and any other centre, so a cell can
@@ -56,7 +56,7 @@ class Index:
         code = np.stack([_nearest(rest[:, i : i + SUB], b)[0] for i, b in zip(self.cuts, self.books, strict=True)], 1).astype(np.uint8)
         near = np.concatenate([b[code[:, k]] for k, b in enumerate(self.books)], 1)
         error = np.sqrt(((rest - near) ** 2).sum(1))
-        radius = np.sqrt(2 - 2 * MIN_COSINE) + SLACK
+        radius = np.sqrt(2 - 2 * min_cosine) + SLACK
         gap = self.gap[of]
         probe = (d - d[np.arange(len(x)), of][:, None]) <= 2 * gap * radius + SLACK
         return of, code, error, [np.flatnonzero(p) for p in probe]
@@ -147,7 +147,7 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample:
             if not b.num_rows:
                 continue
             x = _unit(b.column("x"))
-            of, code, error, probes = index.place(x)
+            of, code, error, probes = index.place(x, min_cosine)
             counts = np.array([len(p) for p in probes])
             upto = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
