@@ -120,8 +120,8 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding, label).
 
     Equal vectors of a label are taken together first; their links are counted by weight. Vectors that are null,
-    zero, or hold null or non-finite numbers, and those without a label, link with nothing; so do vectors of a
-    length other than the most frequent one of all rows with another length. Rows equal in vec_id are rows of
+    zero, or hold null or non-finite numbers, and those without a label, link with nothing; vectors of different
+    lengths do not link, and each length has an index of its own. Rows equal in vec_id are rows of
     their own for counting, and share the component. Empty table: no rows.
     """
     spark = vectors.sparkSession
@@ -130,13 +130,17 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample:
     bad = lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", bad) & F.exists("x", lambda e: e != 0)
     v = v.withColumn("ok", F.coalesce(good, F.lit(False)))
-    lengths = v.filter("ok").groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    lengths = v.filter("ok").groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").collect()
     none = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not lengths:
-        return none(v)
-    dim, n = lengths[0]["d"], lengths[0]["count"]
-    v = v.withColumn("ok", F.col("ok") & (F.size("x") == dim))
-    same = v.filter("ok").groupBy("label", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+    out = none(v.filter(~F.col("ok")))
+    for found in lengths:
+        out = _of_one_length(v.filter(F.col("ok") & (F.size("x") == found["d"])), found["count"], scratch, min_cosine, sample).union(out)
+    return out
+
+
+def _of_one_length(v: DataFrame, n: int, scratch: Scratch, min_cosine: float, sample: int) -> DataFrame:
+    """Of near_duplicates, the n rows (vec_id, x, label) whose vectors can be searched and have one length."""
+    same = v.groupBy("label", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     same = scratch.write(same, "distinct")
     drawn = same.select("x").orderBy(F.xxhash64("id")).limit(sample).toArrow().column("x").combine_chunks()
     cells = int(min(MAX_CELLS, max(1, n // PER_CELL)))
@@ -182,5 +186,4 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample:
     linked = found.filter("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     member = components(found.filter("b is not null").select("a", "b"), scratch)
     reps = same.join(linked, "id", "left").join(member, "id", "left").select("label", "x", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    ok = v.filter("ok").join(reps, ["label", "x"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return ok.union(none(v.filter(~F.col("ok"))))
+    return v.join(reps, ["label", "x"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
