@@ -77,6 +77,12 @@ class Scratch:
             pass
 
 
+def bucket_count(docs: DataFrame, size: int, column: str = "text") -> int:
+    """Buckets of about ``size`` bytes of text each, at least as many as there are shuffle partitions: a scan of the lengths."""
+    total = docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
+
+
 #: From this many edges down, what is left of a graph is finished in one task.
 ONE_TASK_EDGES = 250_000
 

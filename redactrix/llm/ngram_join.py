@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactrix.llm import textnp
-from redactrix.llm.common import Scratch, components
+from redactrix.llm.common import Scratch, bucket_count, components
 from redactrix.llm.embeddings import _forest
 
 U = np.uint64
@@ -29,6 +29,8 @@ U = np.uint64
 LONGER = 20
 #: A block of a cluster: tokens and sets at most; first comparands of a cluster larger than that.
 BLOCK_TOKENS, BLOCK_SETS, HUBS = 1_000_000, 1000, 32
+#: Tokens of a long text handled at once.
+CHUNK = 1 << 18
 MORE_ORDERS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 
 
@@ -42,6 +44,10 @@ def _sets(column: pa.Array, words: int):
     data, offsets = textnp.text_bytes(column)
     for i, j in textnp.blocks(offsets):
         part, upto = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if len(part) > 2 * textnp.BLOCK:  # one long text
+            h = textnp.long_shingles(part, words)
+            yield i, j, h, np.zeros(len(h), np.int8)
+            continue
         begin, end, text = textnp.word_table(part, upto)
         h, t = textnp.distinct(*textnp.shingles(textnp.word_hashes(part, begin, end), text, j - i, words))
         yield i, j, h, t
@@ -49,45 +55,48 @@ def _sets(column: pa.Array, words: int):
 
 def _signature(h: np.ndarray, t: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Size and two 64-bit sums of each set: equal for equal sets."""
+    if n == 1:
+        sums = [sum(int(textnp.mixed(h[s : s + CHUNK] * k).sum(dtype=U)) for s in range(0, len(h), CHUNK)) % (1 << 64) for k in MORE_ORDERS]
+        return np.array([len(h)]), np.array(sums[:1], U), np.array(sums[1:], U)
     count = np.bincount(t, minlength=n)
     c1, c2 = (np.concatenate([np.zeros(1, U), np.cumsum(textnp.mixed(h * k), dtype=U)]) for k in MORE_ORDERS)
     upto = np.concatenate([[0], np.cumsum(count)])
     return count, c1[upto[1:]] - c1[upto[:-1]], c2[upto[1:]] - c2[upto[:-1]]
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text): rows of one id are told apart by their texts."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def token_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2): the size and signature of each row's set."""
+    """(doc_id, text_hash, n_shingles, s1, s2): the size and signature of each row's set."""
 
     def work(batches):
         for b in batches:
             for i, j, h, t in _sets(b.column("text"), words):
                 n, s1, s2 = _signature(h, t, j - i)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], names=["doc_id", "n_shingles", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("text_hash").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], names=["doc_id", "text_hash", "n_shingles", "s1", "s2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_shingles long, s1 long, s2 long")
+    return _rows(docs).mapInArrow(work, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long")
 
 
-def _dealt(token: np.ndarray, owner: np.ndarray, buckets: int):
-    """Rows (bucket, tokens, owners) of packed numbers."""
-    bucket = (token % U(buckets)).astype(np.int32)
+def _packed(bucket: np.ndarray, **columns) -> pa.RecordBatch:
+    """Rows (bucket, a binary of packed numbers for each column), one for each bucket."""
     order = np.argsort(bucket, kind="stable")
-    token, owner, bucket = token[order], owner[order], bucket[order]
+    bucket = bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
-    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])
-    if not len(bucket):
-        starts = ends = np.zeros(0, int)
-    return pa.RecordBatch.from_arrays([
-        pa.array(bucket[starts]), pa.array([token[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary()), pa.array([owner[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary()),
-    ], names=["bucket", "tokens", "owners"])
+    starts, ends = (np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])) if len(bucket) else (cuts, cuts)
+    pack = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int64()), *(pack(x[order]) for x in columns.values())], names=["bucket", *columns])
 
 
-DEALT = "bucket int, tokens binary, owners binary"
+def _numbers(t: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(column).to_pylist()), kind)
 
 
-def _gathered(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (token, owner) pairs of a bucket by token, and for each pair its token's first place and count."""
-    token = np.frombuffer(b"".join(t.column("tokens").to_pylist()), U)
-    owner = np.frombuffer(b"".join(t.column("owners").to_pylist()), np.int64)
+def _distinct_pairs(token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (token, owner) pairs by token, and each pair's rank among its token's."""
     order = np.lexsort((owner, token))
     token, owner = token[order], owner[order]
     new = np.ones(len(token), bool)
@@ -95,58 +104,114 @@ def _gathered(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     token, owner = token[new], owner[new]
     first = np.ones(len(token), bool)
     first[1:] = token[1:] != token[:-1]
-    of = np.cumsum(first) - 1
-    return token, owner, of, np.bincount(of, minlength=1)
+    at = np.flatnonzero(first)
+    return token, owner, np.arange(len(token)) - at[np.cumsum(first) - 1] if len(token) else np.zeros(0, np.int64)
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
-    """The first order's lengthened prefixes, dealt by token; owners are the sets' first signatures."""
+    """The first order's lengthened prefixes, dealt by token; owners are the sets' first signatures.
+
+    Of a token's owners in one batch two are dealt: the others share it for certain. They are counted on the spot and
+    come as rows of their own (bucket below 0, tokens: counts), so a token has two owners a batch in its bucket at most.
+    """
+
+    def dealt(tokens, owners):
+        token, owner, rank = _distinct_pairs(np.concatenate(tokens), np.concatenate(owners))
+        few = rank < 2
+        yield _packed((token[few] % U(buckets)).astype(np.int64), tokens=token[few], owners=owner[few])
+        if not few.all():
+            owner, n = np.unique(owner[~few], return_counts=True)
+            yield _packed(-1 - np.mod(owner, buckets), tokens=n.astype(U), owners=owner)
 
     def work(batches):
         for b in batches:
             tokens, owners = [], []
             for i, j, h, t in _sets(b.column("text"), words):
                 n, s1, _ = _signature(h, t, j - i)
-                first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 length = n - least_overlap(n, percent) + (n + LONGER - 1) // LONGER
-                own = np.arange(len(h)) - first[t] < length[t]
-                tokens.append(h[own])
-                owners.append(s1.view(np.int64)[t[own]])
+                if j - i == 1:
+                    h, t = h[: length[0]], t[: length[0]]
+                else:
+                    own = np.arange(len(h)) - np.concatenate([[0], np.cumsum(n)[:-1]])[t] < length[t]
+                    h, t = h[own], t[own]
+                tokens.append(h)
+                owners.append(s1.view(np.int64)[t])
+                if sum(map(len, tokens)) > 8 * CHUNK:
+                    yield from dealt(tokens, owners)
+                    tokens, owners = [], []
             if tokens:
-                token, owner = np.concatenate(tokens), np.concatenate(owners)
-                order = np.lexsort((owner, token))
-                token, owner = token[order], owner[order]
-                new = np.ones(len(token), bool)
-                new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-                yield _dealt(token[new], owner[new], buckets)
+                yield from dealt(tokens, owners)
 
-    return docs.select("text").mapInArrow(work, DEALT)
+    return docs.select("text").mapInArrow(work, "bucket long, tokens binary, owners binary")
 
 
 def _shared_counts(t: pa.Table) -> pa.Table:
-    """Of each owner in a bucket, how many of its tokens another owner has too."""
-    _, owner, of, count = _gathered(t)
-    owner, n = np.unique(owner[count[of] > 1], return_counts=True) if len(owner) else (owner, owner)
+    """Of each owner in a bucket, how many of its tokens another owner has too (an owner met in several batches may count twice)."""
+    token, owner = _numbers(t, "tokens", U), _numbers(t, "owners", np.int64)
+    if t.column("bucket")[0].as_py() < 0:
+        return pa.table({"s1": pa.array(owner), "k": pa.array(token.astype(np.int64))})
+    token, owner, _ = _distinct_pairs(token, owner)
+    _, of, count = np.unique(token, return_inverse=True, return_counts=True)
+    owner, n = np.unique(owner[count[of] > 1], return_counts=True)
     return pa.table({"s1": pa.array(owner), "k": pa.array(n.astype(np.int64))})
 
 
-def _shared_tokens(buckets: int):
-    """Of a bucket, the tokens that several owners have, dealt by owner: rows (bucket, tokens, owners, dfs)."""
+HELD = "bucket long, nodes binary, ns binary, counts binary, tokens binary"
+
+
+def _held(texts: DataFrame, words: int) -> DataFrame:
+    """Whole sets (node, n, count of tokens, tokens) of rows (node, s1, text), about 4 CHUNK tokens a row; ``bucket`` is a row's own number.
+
+    A row of texts counts only if its text's signature is that of its node: rows of one id may hold several texts.
+    """
+
+    def work(batches):
+        from pyspark import TaskContext
+
+        row, held = TaskContext.get().partitionId() << 33, []
+
+        def out():
+            nodes, ns, counts, tokens = (np.concatenate([h[k] for h in held]) for k in range(4))
+            return pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (nodes, ns, counts, tokens))], names=["bucket", "nodes", "ns", "counts", "tokens"])
+
+        for b in batches:
+            node, s1 = b.column("node").to_numpy(), b.column("s1").to_numpy()
+            for i, j, h, t in _sets(b.column("text"), words):
+                n, found, _ = _signature(h, t, j - i)
+                own = (found.view(np.int64) == s1[i:j]) & (n > 0)
+                if own.any():
+                    held.append((node[i:j][own], n[own].astype(np.int64), n[own].astype(np.int64), h if own.all() else h[own[t]]))
+                if sum(len(x[3]) for x in held) > 4 * CHUNK:
+                    yield out()
+                    row, held = row + 1, []
+        if held:
+            yield out()
+
+    return texts.mapInArrow(work, HELD)
+
 
-    def work(t: pa.Table) -> pa.Table:
-        token, owner, of, count = _gathered(t)
-        df = count[of] if len(token) else np.zeros(0, np.int64)
-        some = df > 1
-        token, owner, df = token[some], owner[some], df[some].astype(np.int64)
-        bucket = np.mod(owner, buckets).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        token, owner, df, bucket = token[order], owner[order], df[order], bucket[order]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        starts, ends = (np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])) if len(bucket) else (cuts, cuts)
-        pack = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())
-        return pa.table({"bucket": pa.array(bucket[starts]), "tokens": pack(token), "owners": pack(owner), "dfs": pack(df)})
+def _asked(held: DataFrame, buckets: int) -> DataFrame:
+    """Of each row of whole sets its different tokens with how many of its sets have them, dealt by token."""
 
-    return work
+    def work(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1)
+                token, n = np.unique(_numbers(row, "tokens", U), return_counts=True)
+                for s in range(0, len(token), 4 * CHUNK):
+                    part = token[s : s + 4 * CHUNK]
+                    yield _packed((part % U(buckets)).astype(np.int64), tokens=part, rows=np.full(len(part), row.column("bucket")[0].as_py(), np.int64), counts=n[s : s + 4 * CHUNK].astype(np.int32))
+
+    return held.select("bucket", "tokens").mapInArrow(work, "bucket long, tokens binary, rows binary, counts binary")
+
+
+def _answered(t: pa.Table) -> pa.Table:
+    """How many sets have each token that several have, for each row that asked: (bucket: the row, tokens, dfs)."""
+    token, row, n = _numbers(t, "tokens", U), _numbers(t, "rows", np.int64), _numbers(t, "counts", np.int32)
+    _, of = np.unique(token, return_inverse=True)
+    df = np.bincount(of, n, minlength=1).astype(np.int64)[of] if len(token) else np.zeros(0, np.int64)
+    some = df > 1
+    return pa.Table.from_batches([_packed(row[some], tokens=token[some], dfs=df[some])])
 
 
 def _bits(parts: list[np.ndarray], known: np.ndarray) -> np.ndarray:
@@ -226,55 +291,48 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text).
+def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component, component_id) of each row: ``component`` numbers the group, component_id is its smallest doc_id.
 
-    Two documents link when 100 * intersection >= percent * union of their sets of word n-grams (A-Z as a-z, words
-    parted by white space; a text of fewer words is one n-gram). Null texts and texts without words have empty
-    sets, link with nothing and are their own component. Equal texts, and rows with equal ids, share a component.
-    Rows without an id are passed through without a component. Empty table: no rows.
+    Documents with equal sets are one node. Nodes are numbered in a written table, so that ids may repeat.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(docs, 8 << 20)
     sets = scratch.write(token_sets(docs, words), "sets")
     shared = _prefixes(docs.filter(F.col("doc_id").isNotNull()), words, percent, buckets).groupBy("bucket").applyInArrow(_shared_counts, "s1 long, k long")
     shared = shared.groupBy("s1").agg(F.sum("k").alias("k"))
-    reps = scratch.again(sets).filter("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    fit = reps.join(shared, "s1").filter(F.col("k") >= F.floor((percent * F.col("n_shingles") + 100 * LONGER - 1) / (100 * LONGER)))
-    fit = scratch.write(fit.select("rep", F.col("n_shingles").alias("n"), "s1", "s2"), "fit")
-
-    def deal(batches):
-        for b in batches:
-            rep, s1 = b.column("rep").to_numpy(), b.column("s1").to_numpy()
-            for i, j, h, t in _sets(b.column("text"), words):
-                own = _signature(h, t, j - i)[1].view(np.int64) == s1[i:j]
-                if len(h):
-                    yield _dealt(h[own[t]], rep[i:j][t[own[t]]], buckets)
-
+    nodes = sets.filter("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("least"))
+    nodes = scratch.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    fit = nodes.join(shared, "s1").filter(F.col("k") >= F.floor((percent * F.col("n_shingles") + 100 * LONGER - 1) / (100 * LONGER)))
     # always a shuffle by id: the sets left grow with the corpus, so they are not broadcast at any size
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").hint("shuffle_merge").join(fit.select("rep", "s1"), "rep")
-    tokens = texts.mapInArrow(deal, DEALT).groupBy("bucket").applyInArrow(_shared_tokens(buckets), DEALT + ", dfs binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text")
+    texts = texts.hint("shuffle_merge").join(fit.select("least", "node", "s1"), "least").select("node", "s1", "text")
+    held = scratch.write(_held(texts, words), "held")
+    answered = _asked(scratch.again(held), buckets).groupBy("bucket").applyInArrow(_answered, "bucket long, tokens binary, dfs binary")
 
     def order(t: pa.Table, known: pa.Table) -> pa.Table:
-        """Of a bucket's owners, all that may be similar to another: their tokens, rarest first, and their prefixes."""
-        sizes = dict(zip(known.column("rep").to_pylist(), known.column("n").to_pylist(), strict=True))
-        token, owner, df = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("tokens", U), ("owners", np.int64), ("dfs", np.int64)))
-        by = np.lexsort((token, df, owner))
-        token, owner = token[by], owner[by]
+        """Of a row's sets, all that may be similar to another: their shared tokens, rarest first, and their prefixes."""
         out = {"rep": [], "n": [], "u": [], "size": [], "tokens": [], "prefix": []}
-        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, int)
-        for s, e in zip(starts, np.append(starts[1:], len(owner)), strict=True):
-            n, own = sizes[int(owner[s])], token[s:e]
-            if e - s >= least_overlap(n, percent):
-                for k, v in zip(out, (int(owner[s]), n, n - len(own), len(own), own.tobytes(), _orders(own, n, percent)[0].view(np.int64)), strict=True):
+        token, df = _numbers(known, "tokens", U), _numbers(known, "dfs", np.int64)
+        by = np.argsort(token)
+        token, df = token[by], df[by]
+        node, ns, counts = (_numbers(t, c, np.int64) for c in ("nodes", "ns", "counts"))
+        tokens = _numbers(t, "tokens", U)
+        for at, n, s, e in zip(node.tolist(), ns.tolist(), (np.cumsum(counts) - counts).tolist(), np.cumsum(counts).tolist(), strict=True):
+            own = tokens[s:e]
+            place = np.minimum(np.searchsorted(token, own), max(len(token) - 1, 0))
+            has = token[place] == own if len(token) else np.zeros(len(own), bool)
+            own, place = own[has], place[has]
+            if len(own) >= least_overlap(n, percent):
+                own = own[np.lexsort((own, df[place]))]
+                for k, v in zip(out, (at, n, n - len(own), len(own), own.tobytes(), _orders(own, n, percent)[0].view(np.int64)), strict=True):
                     out[k].append(v)
-        counts = np.array([len(p) for p in out["prefix"]], np.int64)
+        sizes = np.array([len(p) for p in out["prefix"]], np.int64)
         flat = np.concatenate(out["prefix"]) if out["prefix"] else np.zeros(0, np.int64)
-        return pa.table([*(pa.array(out[k], pa.int64()) for k in ("rep", "n", "u", "size")), pa.array(out["tokens"], pa.binary()), textnp.list_array(flat, counts)], names=list(out))
+        return pa.table([*(pa.array(out[k], pa.int64()) for k in ("rep", "n", "u", "size")), pa.array(out["tokens"], pa.binary()), textnp.list_array(flat, sizes)], names=list(out))
 
-    sizes = scratch.again(fit).groupBy("rep").agg(F.max("n").alias("n")).withColumn("bucket", F.pmod("rep", F.lit(buckets)).cast("int"))
-    full = scratch.write(tokens.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(order, "rep long, n long, u long, size long, tokens binary, prefix array<long>"), "full")
+    full = scratch.write(held.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(order, "rep long, n long, u long, size long, tokens binary, prefix array<long>"), "full")
     postings = full.select("rep", "u", F.explode("prefix").alias("token"))
     hubs = scratch.again(full).select("rep", "u", F.explode("prefix").alias("token")).groupBy("token").agg(F.min(F.struct("u", "rep"))["rep"].alias("hub"), F.count("*").alias("c")).filter("c > 1").select("token", "hub")
     near = postings.join(hubs, "token").filter("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
@@ -300,7 +358,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     small = sized.filter("blocks = 1").withColumn("g", F.pmod(F.xxhash64("cluster"), F.lit(groups))).select("g", "cluster", "rep", "n", "tokens")
     done = small.groupBy("g").applyInArrow(all_of, "id long, component long")
     if not sizes.filter("blocks > 1").limit(1).count():
-        return _labelled(sets, done, scratch)
+        return _labelled(sets, nodes, done, scratch)
 
     def between(left: pa.Table, right: pa.Table) -> pa.Table:
         return _edges(verified_links(Block(left, percent), Block(right, percent), percent) if left.num_rows and right.num_rows else [])
@@ -323,19 +381,49 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     outside = rest.join(rest_blocks, "cluster").select(*columns, every("blocks").alias("block"), salt("rest_blocks").alias("rest_block"))
     inside = scratch.again(labelled).join(scratch.again(rest_blocks), "cluster").select(*columns, "block", every("rest_blocks").alias("rest_block"))
     more = scratch.write(outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(between, "a long, b long"), "more")
-    return _labelled(sets, done.union(components(by_hubs.union(more), scratch)), scratch)
+    return _labelled(sets, nodes, done.union(components(by_hubs.union(more), scratch)), scratch)
 
 
-def _labelled(sets: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each row of sets with its component: that of the smallest id with an equal set."""
-    rep = scratch.again(sets).filter("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    rep = rep.join(found, F.col("rep") == F.col("id"), "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    filled = scratch.again(sets).filter("n_shingles > 0").join(rep, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    return filled.union(scratch.again(sets).filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+def _labelled(sets: DataFrame, nodes: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each row of sets with the component that its node was found in, or the node's own."""
+    joined = scratch.write(scratch.again(nodes).join(found, F.col("node") == F.col("id")).select("node", "component", "least"), "joined")
+    smallest = scratch.again(joined).groupBy("component").agg(F.min("least").alias("smallest"))
+    joined = joined.join(smallest, "component").select("node", "component", "smallest")
+    known = scratch.again(nodes).join(joined, "node", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "node").alias("component"), F.coalesce("smallest", "least").alias("component_id"))
+    filled = scratch.again(sets).filter("n_shingles > 0").join(known, ["n_shingles", "s1", "s2"], "left")
+    has_id = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    empty = scratch.again(sets).filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return filled.select("doc_id", "text_hash", "n_shingles", has_id("component"), has_id("component_id")).union(empty)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text).
+
+    Two rows link when 100 * intersection >= percent * union of their sets of word n-grams (A-Z as a-z, words
+    parted by white space; a text of fewer words is one n-gram). Null texts and texts without words have empty
+    sets, link with nothing and are their own component. Rows of one id with different texts are rows of their
+    own: they share a component only if their texts are linked. Rows without an id are passed through without a
+    component and link with nothing. Empty table: no rows. Only doc_id and text are read.
+    """
+    return _groups(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are the first (smallest doc_id) of their group; rows without an id or words stay."""
-    groups = similar_groups(docs.select("doc_id", "text"), words, percent)
-    gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that stay when one of each group does: that of the smallest doc_id, and of its texts that of the smallest hash.
+
+    Rows without an id or without words stay. Rows of one id are judged by their own texts. Of rows equal in id
+    and text, which are copies like any other, one stays. The columns of docs are kept, whatever their names.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    groups = scratch.write(_groups(docs.select("doc_id", "text"), words, percent).filter("component is not null"), "groups")
+    first = scratch.again(groups).filter("doc_id = component_id").groupBy("component").agg(F.min("text_hash").alias("first"))
+    gone = groups.join(first, "component").filter("doc_id != component_id or text_hash != first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    own = docs["doc_id"].cast("long"), F.xxhash64(docs["text"])
+    left = docs.join(gone, (own[0] == F.col("__id")) & (own[1] == F.col("__hash")), "left_anti")
+    again = scratch.again(groups).groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    again = scratch.write(again, "again")
+    if not again.limit(1).count():
+        return left
+    match = (left["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(left["text"]) == F.col("__hash"))
+    once = left.join(scratch.again(again), match).dropDuplicates(["__id", "__hash"]).select(*[left[c] for c in docs.columns])
+    return left.join(again, match, "left_anti").union(once)

@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactrix.llm import textnp
-from redactrix.llm.common import Scratch
+from redactrix.llm.common import Scratch, bucket_count
 
 U = np.uint64
 LENGTH, GRAM = 100, 32
 #: Different runs of one anchor that are sorted together at most.
 HOT = 20_000
+#: Runs that a task deals out at once, and bytes of text a bucket of runs stands for.
+DEAL, BUCKET = 500_000, 16 << 20
 END = 0xFF  # no byte of UTF-8
 
 
@@ -167,6 +169,23 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"text": text[first], "start": begin - offsets[text[first]], "count": count, "anchor": gram[anchor], "run": textnp.mixed(run)}
 
 
+def runs_of_texts(data: np.ndarray, offsets: np.ndarray):
+    """The runs of all texts, about a block of bytes at a time; a long text is cut into pieces that overlap by LENGTH - 1 bytes.
+
+    A cut may part a run in two. The strings in it are the same, so that is a difference in how they are dealt only.
+    """
+    for i, j in textnp.blocks(offsets):
+        begin, end = int(offsets[i]), int(offsets[j])
+        if end - begin <= 2 * textnp.BLOCK:
+            r = runs(data[begin:end], offsets[i : j + 1] - begin)
+            yield r | {"text": r["text"] + i}
+            continue
+        for s in range(begin, end, textnp.BLOCK):
+            part = data[s : min(end, s + textnp.BLOCK + LENGTH - 1)]
+            r = runs(part, np.array([0, len(part)]))
+            yield r | {"text": r["text"] + i, "start": r["start"] + (s - begin)}
+
+
 PLACE = np.dtype([("anchor", "<u4"), ("run", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("count", "u1")])
 
 
@@ -190,30 +209,34 @@ def _marks(p: np.ndarray, kind) -> dict:
 def _deal_runs(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows (bucket, places): each task's runs, one for each of its different runs; bucket -1 holds its own repeats."""
 
+    def dealt(found, bucket):
+        p, bucket = np.concatenate(found), np.concatenate(bucket)
+        order = np.lexsort((p["start"], p["doc"], p["run"], p["anchor"], bucket))
+        p, bucket = p[order], bucket[order]
+        again = np.zeros(len(p), bool)
+        again[1:] = (p["run"][1:] == p["run"][:-1]) & (p["anchor"][1:] == p["anchor"][:-1]) & (bucket[1:] == bucket[:-1])
+        own = p[again]
+        p, bucket = p[~again], bucket[~again]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
+        out = [(-1 - int(own["doc"][0] % buckets), own.tobytes())] if len(own) else []
+        out += [(int(bucket[s]), p[s:e].tobytes()) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "places"])
+
     def work(batches):
         for b in batches:
             data, offsets = textnp.text_bytes(b.column("text"))
             doc = b.column("doc_id").to_numpy()
             found, bucket = [], []
-            for i, j in textnp.blocks(offsets):
-                r = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for r in runs_of_texts(data, offsets):
                 p = np.zeros(len(r["text"]), PLACE)
-                p["anchor"], p["run"], p["doc"], p["start"], p["count"] = r["anchor"] & U(0xFFFFFFFF), r["run"], doc[i:j][r["text"]], r["start"], r["count"]
+                p["anchor"], p["run"], p["doc"], p["start"], p["count"] = r["anchor"] & U(0xFFFFFFFF), r["run"], doc[r["text"]], r["start"], r["count"]
                 found.append(p)
                 bucket.append(((r["anchor"] >> U(32)) % U(buckets)).astype(np.int32))
-            if not found:
-                continue
-            p, bucket = np.concatenate(found), np.concatenate(bucket)
-            order = np.lexsort((p["start"], p["doc"], p["run"], p["anchor"], bucket))
-            p, bucket = p[order], bucket[order]
-            again = np.zeros(len(p), bool)
-            again[1:] = (p["run"][1:] == p["run"][:-1]) & (p["anchor"][1:] == p["anchor"][:-1]) & (bucket[1:] == bucket[:-1])
-            own = p[again]
-            p, bucket = p[~again], bucket[~again]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
-            out = [(-1 - int(own["doc"][0] % buckets), own.tobytes())] if len(own) else []
-            out += [(int(bucket[s]), p[s:e].tobytes()) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "places"])
+                if sum(map(len, found)) > DEAL:
+                    yield dealt(found, bucket)
+                    found, bucket = [], []
+            if found:
+                yield dealt(found, bucket)
 
     return docs.mapInArrow(work, "bucket int, places binary")
 
@@ -244,13 +267,13 @@ def _deal_pieces(buckets: int):
         for b in batches:
             by: dict[int, list] = {}
             for doc, text, marks in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("marks").to_pylist(), strict=True):
-                data = (text.as_py() or "").encode()
+                data = memoryview(text.as_buffer())
                 for m in marks:
                     if m["kind"] == SORT:
-                        by.setdefault(m["anchor"] % buckets, []).append((doc, m["begin"], data[m["begin"] : m["end"]]))
+                        by.setdefault(m["anchor"] % buckets, []).append((doc, m["begin"], bytes(data[m["begin"] : m["end"]])))
                     else:
                         for s in range(m["begin"], m["end"] - LENGTH + 1):
-                            piece = data[s : s + LENGTH]
+                            piece = bytes(data[s : s + LENGTH])
                             by.setdefault(int.from_bytes(hashlib.blake2b(piece, digest_size=6).digest()) % buckets, []).append((doc, s, piece))
             rows = [(k, np.array([(d, s, len(x)) for d, s, x in v], PIECE).tobytes(), b"".join(x for _, _, x in v)) for k, v in by.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "pieces", "data"])
@@ -296,7 +319,7 @@ def _sort_bucket(t: pa.Table) -> pa.Table:
     return pa.table({"doc": pa.array(doc, pa.int64()), "begin": pa.array(begin.astype(np.int32)), "end": pa.array(end.astype(np.int32))})
 
 
-def kept_bytes(data: bytes, spans) -> tuple[bytes, int, int]:
+def kept_bytes(data, spans) -> tuple[bytes, int, int]:
     """What is left of data without the spans (any order, overlapping), the bytes removed, and the removed runs."""
     out, at, runs_, removed = [], 0, 0, 0
     last = -1
@@ -319,7 +342,7 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * partitions
+    buckets = max(4 * partitions, bucket_count(docs, BUCKET))
     marks = scratch.write(_deal_runs(docs, buckets).groupBy("bucket").applyInArrow(_meet, MARKS), "marks")
     dealt = docs.repartition(partitions, "doc_id")
     asked = scratch.again(marks).filter(F.col("kind") != REMOVE).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("begin", "end", "anchor", "kind")).alias("marks"))
@@ -330,21 +353,30 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     return dealt.join(spans, "doc_id", "left")
 
 
-def _unique(docs: DataFrame) -> DataFrame:
-    """doc_id and text of the rows that take part: with an id, and one row for each (of the smallest text)."""
+def _keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) of the rows with an id, one for each id; and, where ids repeat, what those stand for: (key, doc_id, text_hash).
+
+    Where ids repeat, rows of different texts get keys of their own in the order of ids (and, within one, of the
+    texts' hashes). The keys are numbered in a written table, so that a lost executor changes none.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
-    if own.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        own = own.groupBy("doc_id").agg(F.min("text").alias("text"))
-    return own
+    if not own.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return own, None
+    own = own.withColumn("text_hash", F.xxhash64("text"))
+    keys = own.select("doc_id", "text_hash").distinct().orderBy("doc_id", "text_hash").withColumn("key", F.monotonically_increasing_id())
+    keys = scratch.write(keys, "keys")
+    return own.join(keys, ["doc_id", "text_hash"]).dropDuplicates(["key"]).select(F.col("key").alias("doc_id"), "text"), scratch.again(keys)
 
 
 def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of each document; ``kept`` is the bytes left.
+    """(doc_id, text_hash, n_bytes, n_removed, n_spans, kept) of each document; ``kept`` is the bytes left.
 
     Every byte covered by a string of LENGTH bytes that also starts earlier (smaller doc_id, or the same document
-    and an earlier start) is removed; strings are judged on the texts as they came. Null text: empty. Rows that
-    share an id count as one document, with the smallest of their texts. Rows without an id are left out.
-    ``as_text`` gives ``kept`` as a string, without the halves of characters that a removed run cut.
+    and an earlier start) is removed; strings are judged on the texts as they came. Null text: empty. Rows of one
+    id with different texts are documents of their own, in the order of their texts' hashes; rows equal in id and
+    text are one document. Rows without an id are left out. Empty table: no rows. ``text_hash`` (xxhash64 of the
+    text, null as empty) is null where no ids repeat. ``as_text`` gives ``kept`` as a string, without the halves
+    of characters that a removed run cut.
     """
     kind = pa.string() if as_text else pa.binary()
 
@@ -352,18 +384,44 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
         for b in batches:
             rows = []
             for text, spans in zip(b.column("text"), b.column("spans").to_pylist(), strict=True):
-                data = text.as_py().encode()
+                data = memoryview(text.as_buffer())
                 kept, removed, n = kept_bytes(data, [(s["begin"], s["end"]) for s in spans or ()])
                 rows.append((len(data), removed, n, kept.decode("utf-8", "ignore") if as_text else kept))
             n_bytes, removed, n, kept = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, kind)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return _with_spans(_unique(docs)).select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    own, keys = _keyed(docs, Scratch(docs.sparkSession, "keys"))
+    done = _with_spans(own).select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    found = ["n_bytes", "n_removed", "n_spans", "kept"]
+    if keys is None:
+        return done.select("doc_id", F.lit(None).cast("long").alias("text_hash"), *found)
+    return done.withColumnRenamed("doc_id", "key").join(keys, "key").select("doc_id", "text_hash", *found)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the passages that came earlier cut out of ``text``; characters cut in half by a removed run are left out.
+
+    All rows stay, even where nothing is left of the text; n_chars, if docs has it, is counted anew where bytes
+    went. Rows of one id are cut each by its own text; rows equal in id and text are cut alike. Rows without an id
+    pass unchanged. The columns of docs are kept, whatever their names.
+    """
+    done = Scratch(docs.sparkSession, "repeats").write(remove_repeats(docs.select("doc_id", "text"), as_text=True).filter("n_removed > 0"), "cut")
+    done = done.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept"))
+    same = (docs["doc_id"].cast("long") == F.col("__id")) & (F.col("__hash").isNull() | (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash")))
+    out, cut = docs.join(done, same, "left"), F.col("__id").isNotNull()
+    new = {"text": F.when(cut, F.col("__kept")).otherwise(docs["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.length("__kept")).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 
 def dedup_digests(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Rows without an id are left whole."""
-    done = remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    rest = docs.filter("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
-    return done.union(rest)
+    """One row a row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Rows without an id are left whole."""
+    done = remove_repeats(docs).select("doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rest = rows.filter("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    again = rows.filter("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.count("*").alias("c")).filter("c > 1")
+    if again.limit(1).count():
+        done = done.join(again, ["doc_id", "text_hash"], "left").withColumn("__n", F.explode(F.sequence(F.lit(1), F.coalesce("c", F.lit(1)).cast("int"))))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").union(rest)

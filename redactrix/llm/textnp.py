@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text worked on at once; a longer single text is worked on by itself.
-BLOCK = 2 << 20
+#: Bytes of text worked on at once. Arrays of numbers take up to a hundred times as much, so that a longer single
+#: text is worked on in pieces of about this size (``word_pieces``).
+BLOCK = 256 << 10
 U = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20260101))
@@ -73,6 +74,74 @@ def word_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return begin, end, np.searchsorted(offsets, begin, "right") - 1
 
 
+def word_pieces(data: np.ndarray, size: int | None = None):
+    """Ranges [begin, end) of a text of about ``size`` bytes that part no word; a word longer than that has a range to itself."""
+    size, at, n = size or BLOCK, 0, len(data)
+    while at < n:
+        aim = at + size
+        if aim >= n:
+            yield at, n
+            return
+        # the last white space before the aim; else the first one after it, searched piece by piece
+        back = np.flatnonzero(IS_SPACE[data[at:aim]])
+        if len(back):
+            end = at + int(back[-1]) + 1
+        else:
+            end = aim
+            while end < n and not len(ahead := np.flatnonzero(IS_SPACE[data[end : end + size]])):
+                end += size
+            end = n if end >= n else end + int(ahead[0])
+        yield at, end
+        at = end
+
+
+def long_word_hash(data: np.ndarray, fold: bool = True) -> np.ndarray:
+    """word_hashes of one word of any length, a block at a time."""
+    values, total = FOLDED if fold else BYTE, 0
+    for s in range(0, len(data), BLOCK):
+        part = data[s : s + BLOCK]
+        total += int((values[part] * powers(BASE, len(part))).sum(dtype=U)) * pow(BASE, s, 1 << 64)
+    total = (total + len(data) * int(MULTIPLIERS[15])) % (1 << 64)
+    return mixed(np.array([total], U))
+
+
+def hashes_by_piece(data: np.ndarray, fold: bool = True):
+    """The word hashes of one text, an array for each of its word_pieces."""
+    for b, e in word_pieces(data):
+        part = data[b:e]
+        if e - b > 2 * BLOCK:  # one word, with white space before it at most
+            begin = int(np.argmin(IS_SPACE[part]))
+            if not IS_SPACE[part[begin]]:
+                yield long_word_hash(part[begin:], fold)
+        else:
+            begin, end, _ = word_table(part, np.array([0, e - b]))
+            yield word_hashes(part, begin, end, fold)
+
+
+def sorted_set(*parts: np.ndarray) -> np.ndarray:
+    """The distinct numbers of the parts in order (np.unique goes by a hash table, which is slower by far)."""
+    x = np.concatenate(parts)
+    x.sort()
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
+def long_shingles(data: np.ndarray, n: int) -> np.ndarray:
+    """The distinct hashes of one text's n-word shingles in order, as ``shingles`` and ``distinct`` give them, a piece at a time."""
+    held, found, count = np.zeros(0, U), [], 0
+    for h in hashes_by_piece(data):
+        count, h = count + len(h), np.concatenate([held, h])
+        if len(h) >= n:
+            found.append(sorted_set(shingles(h, np.zeros(len(h), np.int64), 1, n)[0]))
+        held = h[max(0, len(h) - n + 1) :]
+    if count < n:
+        return shingles(held, np.zeros(len(held), np.int64), 1, n)[0]
+    while len(found) > 1:  # pairwise, so that pieces that share shingles shrink early
+        found = [sorted_set(*found[k : k + 2]) for k in range(0, len(found), 2)]
+    return found[0]
+
+
 def prefix_hash(data: np.ndarray, values: np.ndarray) -> np.ndarray:
     """c with c[j] - c[i] the weighted sum of bytes i to j; times a power of the inverse base it is their hash."""
     c = np.zeros(len(data) + 1, U)
