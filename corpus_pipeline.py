@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from redactrix.llm import mixing, ngram_join, pieces, quality_rules, suffix_dedup
 from redactrix.llm.common import Scratch
@@ -21,14 +20,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that came earlier; characters cut in half by a removed run are left out.
-
-    Rows stay even where nothing is left of the text; n_chars is counted anew. Rows without an id pass unchanged.
-    """
-    done = suffix_dedup.remove_repeats(docs.select("doc_id", "text"), as_text=True).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
-    out, cut = docs.join(done, docs["doc_id"] == done["__id"], "left"), F.col("__id").isNotNull()
-    new = {"text": F.when(cut, F.col("__kept")).otherwise(docs["text"]), "n_chars": F.when(cut, F.length("__kept").cast("long")).otherwise(docs["n_chars"])}
-    return out.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+    """Documents without the passages that came earlier: all rows stay, cut by their own texts (``suffix_dedup.without_repeats``)."""
+    return suffix_dedup.without_repeats(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
