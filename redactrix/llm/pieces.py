@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE_MARK = "▁"
-#: Chunks kept with their ids by a worker, and the longest kept (characters).
-CACHE_SIZE, CACHE_LONGEST = 800_000, 48
+#: Chunks kept with their ids while a task runs (beyond that the store begins anew), and the longest kept (characters).
+CACHE_SIZE, CACHE_LONGEST = 200_000, 48
 
 
 class CharMap:
@@ -73,8 +73,10 @@ class Encoder:
         self.user = sorted((p.piece.encode() for p in proto.pieces if p.type == kinds.USER_DEFINED), key=len, reverse=True)
         self.bos, self.eos, self.unk = proto.trainer_spec.bos_id, proto.trainer_spec.eos_id, proto.trainer_spec.unk_id
         self.bytes_too = proto.trainer_spec.byte_fallback
+        #: Characters that are pieces; without byte fallback a run of others becomes one unknown piece.
+        self.known = {p for p in plain if len(p) == 1}
         #: No piece joins other text to a space mark after it, nor holds a line feed: there the text can be cut.
-        self.cuts = self.mark and not any(SPACE_MARK in p.lstrip(SPACE_MARK) or "\n" in p for p in plain)
+        self.cuts = self.mark and not any(SPACE_MARK in p.lstrip(SPACE_MARK) or len(p) > 1 and "\n" in p for p in plain) and (self.bytes_too or {SPACE_MARK, "\n"} <= self.known)
         surface = [bytes([int(p[3:5], 16)]) if x.type == kinds.BYTE else b"" if x.type in (kinds.CONTROL, kinds.UNKNOWN) else p.encode() for p, x in zip(pieces, proto.pieces, strict=True)]
         self.width = np.array([len(s) for s in surface], np.int64)
         self.width_in_source = np.array([len(s.replace(SPACE_MARK.encode(), b" ")) for s in surface], np.int64)
@@ -176,21 +178,46 @@ class Encoder:
         first, last = mark(self.bos), mark(self.eos)
         return [first + x + last for x in self.ids_of(normals)]
 
+    def forget(self) -> None:
+        """Lets the kept chunks go: a worker that waits for its next task holds the model only."""
+        self._cache.clear()
+
     def encode(self, text: str | None, ends: bool = True) -> bytes:
         return self.encode_many([text], ends)[0]
 
+    def widths(self, normal: str, ids: np.ndarray) -> np.ndarray:
+        """The bytes of normalised text that each id stands for; an unknown piece stands for the run of unknown characters."""
+        widths = self.width_in_source[ids]
+        if not np.any(ids == self.unk):
+            return widths
+        data, at = normal.encode(), 0
+        known = lambda c: (SPACE_MARK if self.mark and c == " " else c) in self.known
+        for k in range(len(ids)):
+            if ids[k] == self.unk:
+                end = at
+                while end < len(data) and (end == at or not known(data[end : end + _char_length(data[end])].decode())):
+                    end += _char_length(data[end])
+                widths[k] = end - at
+            at += int(widths[k])
+        return widths
+
     def spans(self, text: str | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each id the source bytes [begin, end) that it stands for; begin and end ids stand for none."""
         text = text or ""
         if self.plain:
-            upto = np.cumsum(self.width_in_source[ids])
+            normal = (" " * self.dummy + text if text else "").replace(SPACE_MARK, " ")
+            upto = np.cumsum(self.widths(normal, ids))
+            if SPACE_MARK in text:  # a mark in the text is encoded as a space is, and wider
+                wide = np.frombuffer(normal.encode(), np.uint8) == 32
+                marked = [c == SPACE_MARK for c in " " * (self.dummy and text != "") + text if c in (" ", SPACE_MARK)]
+                steps = np.ones(len(wide), np.int64)
+                steps[np.flatnonzero(wide)[marked]] = len(SPACE_MARK.encode())
+                upto = np.concatenate([[0], np.cumsum(steps)])[upto]
             if text and self.dummy:
                 upto = np.maximum(upto - 1, 0)
             return np.concatenate([[0], upto[:-1]]).astype(np.int64), upto
         normal, origin = self.normalize(text)
-        if np.any(ids == self.unk):
-            raise ValueError("spans need a model with byte fallback when text has unknown characters")
-        upto = np.cumsum(self.width_in_source[ids])
+        upto = np.cumsum(self.widths(normal, ids))
         begin = origin[np.concatenate([[0], upto[:-1]]).astype(np.int64)]
         return begin, origin[upto]
 
@@ -210,7 +237,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(model: bytes) -> Encoder:
-    """One for each Python worker and model."""
+    """One for each Python worker and model; whoever asks for it ends with ``forget``."""
     key = hashlib.sha256(model).hexdigest()
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(model)
@@ -232,6 +259,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
             for texts in _groups(b.column("text")):
                 ids = [np.frombuffer(raw, "<u4") for raw in e.encode_many(texts)]
                 yield _batch([(doc_id, i, *e.spans(t, i)) for t, i, doc_id in zip(texts, ids, doc_ids, strict=False)])
+        e.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, ids array<int>, begins array<int>, ends array<int>")
 
@@ -276,5 +304,6 @@ def round_trip_digests(docs: DataFrame, model_path: str) -> DataFrame:
                     rows.append((len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(e.decode(ids.tolist()).encode()).hexdigest(), int((ends - begins).sum())))
             n, a, d, s = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(s, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+        e.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
