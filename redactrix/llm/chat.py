@@ -32,16 +32,24 @@ LAYOUTS = {
 
 
 def field_paths(value, at: str = "") -> set[str]:
-    """Paths of the leaves; list items share one path. An empty list or object is a leaf itself."""
-    if isinstance(value, dict) and value:
-        return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
-    if isinstance(value, list) and value:
-        return set().union(*(field_paths(v, f"{at}[]") for v in value))
-    return {at}
+    """Paths of the leaves; list items share one path. An empty list or object is a leaf itself.
+
+    Dots, brackets and backslashes in names are escaped, so that no name reads as a path.
+    """
+    found, todo = set(), [(value, at)]
+    while todo:
+        value, at = todo.pop()
+        if isinstance(value, dict) and value:
+            todo += [(v, f"{at}.{name}" if at else name) for k, v in value.items() for name in (re.sub(r"([\\.\[\]])", r"\\\1", k),)]
+        elif isinstance(value, list) and value:
+            todo += [(v, f"{at}[]") for v in value]
+        else:
+            found.add(at)
+    return found
 
 
 def fingerprint(paths) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 BY_HASH = {fingerprint(paths): name for name, (paths, _) in LAYOUTS.items()}
@@ -65,6 +73,7 @@ def canonical(record, layout: str, roles=ROLES) -> list[tuple[str, str]]:
     kind, *how = LAYOUTS[layout][1]
     if kind == "each":
         name, role, text = how
+        roles = {} if layout == "turn_rows" else roles  # rows of turns state canonical roles
         rows = record[name] if name else record
         return [(roles.get(_text(r.get(role)), _text(r.get(role))), _text(r.get(text))) for r in rows if isinstance(r, dict)]
     return [(role, "\n".join(x for f in fields if (x := _text(record.get(f))))) for role, *fields in how]
@@ -113,7 +122,8 @@ FORMATTED = pa.schema([("conv_id", pa.int64()), ("layout", pa.string()), ("schem
 def format_records(records: DataFrame, roles=ROLES) -> DataFrame:
     """(conv_id, layout, schema_hash, turns, formatted, loss_spans) from rows of (conv_id, record: JSON text).
 
-    Null records, and texts that are no JSON or of no known layout: layout "unknown", no turns, empty text.
+    Null records, texts that are no JSON, nested too deeply to be read or of no known layout, and those whose turns
+    hold half a surrogate pair (no Unicode text): layout "unknown", no turns, empty text.
     Null role or text: empty. Each row is done by itself, so repeated ids stay repeated.
     """
 
@@ -123,12 +133,16 @@ def format_records(records: DataFrame, roles=ROLES) -> DataFrame:
             for conv_id, raw in zip(b.column("conv_id").to_pylist(), b.column("record").to_pylist(), strict=True):
                 try:
                     record = json.loads(raw) if raw is not None else None
-                except ValueError:
+                except (ValueError, RecursionError):
                     record = None
                 paths = field_paths(record) if isinstance(record, dict | list) else set()
                 layout = layout_of(paths)
-                turns = canonical(record, layout, roles)
-                text, spans = render(turns)
+                try:
+                    turns = canonical(record, layout, roles)
+                    text, spans = render(turns)
+                    text.encode()
+                except (UnicodeEncodeError, RecursionError):
+                    layout, turns, text, spans = "unknown", [], "", []
                 rows.append({"conv_id": conv_id, "layout": layout, "schema_hash": fingerprint(paths), "turns": [{"role": r, "text": t} for r, t in turns], "formatted": text, "loss_spans": [{"begin": x, "end": y} for x, y in spans]})
                 if len(rows) >= 512:
                     yield pa.RecordBatch.from_pylist(rows, FORMATTED)
@@ -139,12 +153,29 @@ def format_records(records: DataFrame, roles=ROLES) -> DataFrame:
 
 
 def rows_to_records(rows: DataFrame) -> DataFrame:
-    """One JSON record of the "turn_rows" layout for each conv_id of rows (conv_id, turn, role, text).
+    """One JSON record for each conv_id of rows (conv_id, turn, role, text), in the layout that suits its turns.
 
-    Turns are ordered by turn, then role and text (nulls first), so ties and repeated rows come out the same each run.
+    A user and an assistant: prompt and response; those behind a system turn: system, prompt and response; users and
+    assistants only, otherwise: a share of "from" and "value"; with system turns among them: messages; any other
+    roles, null ones among them: rows of turns. Turns are ordered by turn, then role and text (nulls first), so ties
+    and repeated rows come out the same each run. Each layout gives back the same turns.
     """
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    return rows.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.to_json(F.struct("turns"), {"ignoreNullFields": "false"}).alias("record"))
+    out = rows.groupBy("conv_id").agg(turns.alias("turns")).withColumn("roles", F.transform("turns", lambda t: F.coalesce(t["role"], F.lit(""))))
+    text = lambda k, name: F.get("turns", k)["text"].alias(name)
+    names = lambda *xs: F.col("roles") == F.array(*[F.lit(x) for x in xs])
+    only = lambda *xs: F.forall("roles", lambda r: r.isin(*xs))
+    each = lambda role, value: F.transform("turns", lambda t: F.struct(role(t["role"]).alias("from" if value == "value" else "role"), t["text"].alias(value)))
+    spoken = lambda r: F.when(r == "user", "human").otherwise("gpt")
+    json_of = lambda *fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    record = (
+        F.when(names("user", "assistant"), json_of(text(F.lit(0), "prompt"), text(F.lit(1), "response")))
+        .when(names("system", "user", "assistant"), json_of(text(F.lit(0), "system"), text(F.lit(1), "prompt"), text(F.lit(2), "response")))
+        .when(only("user", "assistant"), json_of(each(spoken, "value").alias("conversations")))
+        .when(only("user", "assistant", "system"), json_of(each(lambda r: r, "content").alias("messages")))
+        .otherwise(json_of("turns"))
+    )
+    return out.select("conv_id", record.alias("record"))
 
 
 READ = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])

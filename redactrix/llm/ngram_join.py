@@ -216,12 +216,16 @@ def _answered(t: pa.Table) -> pa.Table:
 
 def _bits(parts: list[np.ndarray], known: np.ndarray) -> np.ndarray:
     """A row of bits for each part: which of the known numbers it has."""
-    out = np.zeros((len(parts), max(1, (len(known) + 63) // 64) * 64), bool)
+    out = np.zeros((len(parts), max(1, (len(known) + 63) // 64) * 8), np.uint8)
     if len(known):
-        for row, p in zip(out, parts, strict=True):
+        row = np.zeros(out.shape[1] * 8, bool)
+        for packed, p in zip(out, parts, strict=True):
             at = np.minimum(np.searchsorted(known, p), len(known) - 1)
-            row[at[known[at] == p]] = True
-    return np.packbits(out, axis=1).view(U)
+            at = at[known[at] == p]
+            row[at] = True
+            packed[:] = np.packbits(row)
+            row[at] = False
+    return out.view(U)
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

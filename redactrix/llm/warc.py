@@ -100,13 +100,16 @@ class _Tail:
 def members(tail: _Tail, length: int):
     """Contents of the gzip members that begin inside the first ``length`` bytes and hold a WARC record.
 
-    Every magic is a candidate; it counts if it decodes and what comes out begins with a WARC version.
+    Every magic is a candidate; it counts if it decodes and what comes out begins with a WARC version. A record that
+    the file's end cuts raises ValueError, as does a member cut where a record must begin (behind another, or at 0).
     """
-    at = 0
+    at, due = 0, 0 if tail.begin == 0 else None
     while True:
         at = tail.data.find(MAGIC, at)
         while at < 0 or at + 18 > len(tail.data):
             if at < 0 and len(tail.data) >= length + len(MAGIC) or not tail.more():
+                if at == due:
+                    raise ValueError("the archive ends inside a record")
                 break
             at = tail.data.find(MAGIC, max(0, length - len(MAGIC)) if at < 0 else at)
         if at < 0 or at >= length:
@@ -121,31 +124,50 @@ def members(tail: _Tail, length: int):
                 out += z.decompress(step)
                 if len(out) >= 7 and not out.startswith(b"WARC/1."):
                     raise zlib.error("not a record")
-        except (zlib.error, EOFError):
+        except EOFError:
+            if at == due or out.startswith(b"WARC/1."):
+                raise ValueError("the archive ends inside a record") from None
+            at += 1
+            continue
+        except zlib.error:
             at += 1
             continue
         if not out.startswith(b"WARC/1."):
             at += 1
             continue
         yield bytes(out)
-        at = pos - len(z.unused_data)
+        at = due = pos - len(z.unused_data)
+
+
+def _whole(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"[0-9]{1,18}", text) else None
 
 
 def parse_record(raw: bytes) -> dict:
+    """One record. Its type is as stated ("" if it is not); a response's payload is what follows the HTTP header.
+
+    Other types with content (warcinfo, request, metadata, resource ...) have their whole block as the payload, and
+    revisits none: their length and digest are those that their headers state, null if they do not. A missing or odd
+    Content-Length: the block is all that follows, without the line ends that close a record. Missing fields: null.
+    """
     head, _, block = raw.partition(b"\r\n\r\n")
     fields = {}
     for line in head.split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
-        fields[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-    block = block[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    stated = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
-    number = lambda k: int(fields[k]) if fields.get(k) else None
-    response = fields["warc-type"] == "response"
-    return {
-        "page_id": number("page-id"), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "refers_to": number("refers-to-page-id"),
-        "payload_bytes": len(payload) if response else int(stated[1]), "payload_digest": hashlib.sha256(payload).hexdigest() if response else fields["warc-payload-digest"].partition(":")[2], "payload": payload if response else None,
-    }
+        fields[name.decode("latin-1").strip().lower()] = value.strip().decode("utf-8", "replace")
+    size, kind = _whole(fields.get("content-length")), fields.get("warc-type", "").lower()
+    block = block[:size] if size is not None else block.removesuffix(b"\r\n\r\n")
+    out = {"page_id": _whole(fields.get("page-id", "").removeprefix("-")), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": _whole(fields.get("refers-to-page-id", "").removeprefix("-"))}
+    for name, field in (("page_id", "page-id"), ("refers_to", "refers-to-page-id")):
+        if fields.get(field, "").startswith("-") and out[name] is not None:
+            out[name] = -out[name]
+    if kind == "revisit":
+        stated = re.search(rb"(?i)\r\ncontent-length:\s*(\d{1,18})\s", block)
+        algorithm, _, digest = fields.get("warc-payload-digest", "").partition(":")
+        return out | {"payload_bytes": int(stated[1]) if stated else None, "payload_digest": digest.lower() if algorithm.lower() == "sha256" else None, "payload": None}
+    http = kind == "response" and block.startswith(b"HTTP/")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    return out | {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(), "payload": payload}
 
 
 RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
@@ -155,19 +177,28 @@ def read_warc(archives: DataFrame, split: int = SPLIT, payload: bool = True) ->
     """Records of archives (path, size): page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
     Each byte range is a task's row; a record belongs to the range that its first byte lies in. Responses'
-    lengths and digests are worked out from the payload; revisits' are those that their headers state.
-    ``payload`` False leaves the payload column null.
+    lengths and digests are worked out from the payload; revisits' are those that their headers state. Records of
+    other types come out as well, with the type that they state. ``payload`` False leaves the payload column null.
+    An archive that ends inside a record ends the job: its path is in the message. Empty archives: no rows.
     """
     ranges = archives.filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("begin"))
-    n = archives.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 1
+    n = int(archives.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 1)
+    # a task takes one range while that keeps tasks few, and up to 64 of them beyond
+    tasks = max(min(n, 4 * int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-n // 64))
 
     def work(batches):
         for b in batches:
             for path, size, begin in zip(*(b.column(c).to_pylist() for c in ("path", "size", "begin")), strict=True):
                 system, name = open_fs(path)
                 with system.open_input_file(name) as source:
-                    rows, held = [], 0
-                    for raw in members(_Tail(source, begin, min(size, begin + split)), min(size, begin + split) - begin):
+                    rows, held, found = [], 0, members(_Tail(source, begin, min(size, begin + split)), min(size, begin + split) - begin)
+                    while True:
+                        try:
+                            raw = next(found, None)
+                        except ValueError as e:
+                            raise ValueError(f"{path}: {e}") from e
+                        if raw is None:
+                            break
                         rows.append(parse_record(raw))
                         held += len(raw)
                         if not payload:
@@ -178,7 +209,7 @@ def read_warc(archives: DataFrame, split: int = SPLIT, payload: bool = True) ->
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, RECORD)
 
-    return ranges.repartition(int(min(n, 10_000))).mapInArrow(work, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return ranges.repartition(tasks).mapInArrow(work, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, split: int = SPLIT, payload: bool = False) -> DataFrame:
