@@ -77,6 +77,13 @@ class Scratch:
             pass
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores more as it takes to differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    longest = max((len(c) for c in taken), default=0)
+    return [next(n + "_" * k for k in range(longest + 1) if (n + "_" * k).lower() not in taken) for n in names]
+
+
 def bucket_count(docs: DataFrame, size: int, column: str = "text") -> int:
     """Buckets of about ``size`` bytes of text each, at least as many as there are shuffle partitions: a scan of the lengths."""
     total = docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0

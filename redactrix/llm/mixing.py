@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactrix.llm.common import WORD_CLASS, Scratch
+from redactrix.llm.common import WORD_CLASS, Scratch, fresh
 
 WEIGHTS = (3, 1, 2)
 #: The mix's size against the corpus, as a fraction of whole numbers, and how often a source may be taken at most.
@@ -73,10 +73,10 @@ def plan_copies(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed: st
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed: str = SEED) -> DataFrame:
     """The mixed documents: each row of docs as often as plan_copies says, with the columns of docs."""
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    per = _settled(docs, weights, share, cap).select(F.col("source").alias("__source"), rate.alias("__rate"))
-    joined = docs.join(per, docs["source"].eqNullSafe(per["__source"]), "left")
-    extra = F.when(uniform(docs["doc_id"], seed) < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    copies = (F.floor("__rate") + extra).cast("int")
+    source, rate, copy = fresh(docs, "of_source", "copy_rate", "copy_number")
+    per = _settled(docs, weights, share, cap).select(F.col("source").alias(source), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(rate))
+    joined = docs.join(per, docs["source"].eqNullSafe(F.col(source)), "left")
+    extra = F.when(uniform(docs["doc_id"], seed) < F.col(rate) - F.floor(rate), 1).otherwise(0)
+    copies = (F.floor(rate) + extra).cast("int")
     each = F.when(copies > 0, F.sequence(F.lit(1), F.greatest(copies, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return joined.withColumn("__copy", F.explode(each)).select(*[docs[c] for c in docs.columns])
+    return joined.withColumn(copy, F.explode(each)).select(*[docs[c] for c in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactrix.llm import textnp
-from redactrix.llm.common import Scratch, bucket_count, components
+from redactrix.llm.common import Scratch, bucket_count, components, fresh
 from redactrix.llm.embeddings import _forest
 
 U = np.uint64
@@ -421,13 +421,13 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "keep-one")
     groups = scratch.write(_groups(docs.select("doc_id", "text"), words, percent).filter("component is not null"), "groups")
     first = scratch.again(groups).filter("doc_id = component_id").groupBy("component").agg(F.min("text_hash").alias("first"))
-    gone = groups.join(first, "component").filter("doc_id != component_id or text_hash != first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    own = docs["doc_id"].cast("long"), F.xxhash64(docs["text"])
-    left = docs.join(gone, (own[0] == F.col("__id")) & (own[1] == F.col("__hash")), "left_anti")
-    again = scratch.again(groups).groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    again = scratch.write(again, "again")
+    id_, hash_ = fresh(docs, "gone_id", "gone_hash")
+    keys = lambda df: df.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    same = (docs["doc_id"].cast("long") == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(hash_))
+    gone = keys(groups.join(first, "component").filter("doc_id != component_id or text_hash != first")).distinct()
+    left = docs.join(gone, same, "left_anti")
+    again = scratch.write(keys(scratch.again(groups).groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).filter("c > 1")), "again")
     if not again.limit(1).count():
         return left
-    match = (left["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(left["text"]) == F.col("__hash"))
-    once = left.join(scratch.again(again), match).dropDuplicates(["__id", "__hash"]).select(*[left[c] for c in docs.columns])
-    return left.join(again, match, "left_anti").union(once)
+    once = left.join(scratch.again(again), same).dropDuplicates([id_, hash_]).select(*docs.columns)
+    return left.join(again, same, "left_anti").union(once)

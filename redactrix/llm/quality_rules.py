@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactrix.llm.common import SPACE_CLASS
+from redactrix.llm.common import SPACE_CLASS, fresh
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -106,7 +106,7 @@ def judge(docs: DataFrame, rules=RULES, prefix: str = "") -> DataFrame:
     One projection, no shuffle. Null or empty text: no words, so base_failed. Counts are of the whole text;
     repeated rows are judged alike. Columns of docs with the names of counts are replaced: give a prefix.
     """
-    m = f"__m{prefix}"
+    (m,) = fresh(docs, "measured")
     out = docs.withColumn(m, measures(F.col("text")))
     count = lambda c: F.col(f"{m}.{COUNTS[c]}")
     base = (count("n_words") < MIN_WORDS) | (100 * count("n_repeat_words") > MAX_REPEAT_PERCENT * count("n_words"))
@@ -116,4 +116,7 @@ def judge(docs: DataFrame, rules=RULES, prefix: str = "") -> DataFrame:
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs that the rules keep, with their own columns only."""
-    return judge(docs, rules, "__q_").filter(F.col("__q_kept")).select(*docs.columns)
+    (prefix,) = fresh(docs, "quality_")
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return judge(docs, rules, prefix).filter(F.col(prefix + "kept")).select(*docs.columns)

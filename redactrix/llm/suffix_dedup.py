@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactrix.llm import textnp
-from redactrix.llm.common import Scratch, bucket_count
+from redactrix.llm.common import Scratch, bucket_count, fresh
 
 U = np.uint64
 LENGTH, GRAM = 100, 32
@@ -406,12 +406,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     pass unchanged. The columns of docs are kept, whatever their names.
     """
     done = Scratch(docs.sparkSession, "repeats").write(remove_repeats(docs.select("doc_id", "text"), as_text=True).filter("n_removed > 0"), "cut")
-    done = done.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept"))
-    same = (docs["doc_id"].cast("long") == F.col("__id")) & (F.col("__hash").isNull() | (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash")))
-    out, cut = docs.join(done, same, "left"), F.col("__id").isNotNull()
-    new = {"text": F.when(cut, F.col("__kept")).otherwise(docs["text"])}
+    id_, hash_, kept = fresh(docs, "cut_id", "cut_hash", "cut_text")
+    done = done.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("kept").alias(kept))
+    same = (docs["doc_id"].cast("long") == F.col(id_)) & (F.col(hash_).isNull() | (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(hash_)))
+    out, cut = docs.join(done, same, "left"), F.col(id_).isNotNull()
+    new = {"text": F.when(cut, F.col(kept)).otherwise(docs["text"])}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(cut, F.length("__kept")).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(cut, F.length(kept)).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return out.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 

@@ -55,9 +55,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, size: int = BLOCK):
+def blocks(offsets: np.ndarray, size: int | None = None):
     """Ranges [i, j) of texts of about ``size`` bytes together."""
-    i, n = 0, len(offsets) - 1
+    i, n, size = 0, len(offsets) - 1, size or BLOCK
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield i, j
