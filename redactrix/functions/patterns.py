@@ -93,6 +93,16 @@ ORPHAN_DATE_LINE = I + r"^\s*(?:\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}|\d{1,2}\s+(?:"
 DOB_NEIGHBOURS = ("фио", "лет", "пол", "дата рождения", "возраст", "год рождения")
 FIO_SHORT_DOB = U + r"(\[FIO\]\s*[.,;:/\-]*\s*)\d{1,2}\s*[.\-/]\s*\d{1,2}\s*[.\-/]\s*\d{2}(?!\d)"
 FIO_DOB = I + r"(\[FIO\]\s*[,;:\u2013\u2014-]?\s*)(?:" + ANY_DATE + r")(\s*[(,]?\s*\d{1,3}\s*" + AGE_UNIT + r"\s*\)?)?"
+DOB_TABLE = I + rf"^({ITEM}дата\s+рождени\w*(?:[ \t]{{2,}}|\t+))(\S.*?)\s*$"
+DOB_LABEL_REST = I + r"^(дата\s*рождения\b\s*[:\-]?\s*)(.*)$"
+DOB_LINE = I + rf"^({ITEM}дата\s+рождени\w*)\b(.*)$"
+DOB_SPLIT = I + r"(\bдата\s*рождения\s*[:\-]?\s*)число\s*(\d{1,2})\s*месяц\s*([а-яё]+)\s*год\s*(\d{4})"
+DOB_AGE_ROW = I + r"(\bдата\s*рождения\s*,\s*возраст\b.*?)(\d{1,2}\s*[.\-/]\s*\d{1,2}\s*[.\-/]\s*\d{4})\s*[,;]?\s*(\d{1,3}\s*(?:год|года|лет|г\.|л\.))"
+AGE_INLINE = I + rf"^({ITEM}возраст\s*[:\-]\s*)(.+)$"
+FIELD_INSIDE = I + r"[а-яё]+\s*[:\-]\s*"
+ANY_RAW_DATE = U + r"\d{1,2}\s*[.\-/]\s*\d{1,2}\s*[.\-/]\s*\d{2,4}"
+AGE_CONTEXT = I + r"\[FIO\]|возраст|рождени|ф\.?\s*и\.?\s*о|пациент|больн"
+DOB_WITH_AGE = I + r"(?:" + ANY_DATE + r")(?:\s*[/,;(\-\u2013\u2014]?\s*)(\d{1,3}\s*" + AGE_UNIT + ")"
 FIO_ONLY_LINE = U + r"^\s*\[FIO\],?\s*$"
 # ---- fixed values: names ----
 FIO_TRIPLET = U + rf"\b{WORD}\s+{WORD}\s+{PATRONYMIC}"
@@ -104,6 +114,13 @@ FIO_LINES = tuple(U + rf"^\s*{x}\s*$" for x in (rf"{WORD}\s+{WORD}\s+{PATRONYMIC
 FIO_INLINE_LABEL = I + rf"^({ITEM}{FIO_LABEL}{NOT_STAFF}{OF_PATIENT}\s*[:\-]\s*)(\S.+?)\s*$"
 FIO_LABEL_ONLY = I + rf"^{ITEM}(?:{FIO_LABEL}{NOT_STAFF}{OF_PATIENT}|пациент\w*)\s*[:\-\.]?\s*$"
 NAME_PART_LABELS = tuple(I + rf"^({ITEM}{x}\s*[:\-]\s*)(\S.+?)\s*$" for x in ("фамилия", "имя", r"отчество(?:\s*\(при\s+наличии\))?"))
+FIO_NO_COLON = I + rf"^({ITEM}{FIO_LABEL}{NOT_STAFF}{OF_PATIENT}\s+)((?!(?:полностью|пациент\w*|ребенк\w*|больн\w*|врач\w*)\b)[А-ЯЁA-Z][\S].*?)\s*$"
+TABLE_GAP = r"(?:[ \t]{2,}|\t+)"
+NAME_PART_TABLES = tuple(I + rf"^({ITEM}{x}{TABLE_GAP})(\S.*?)\s*$" for x in ("фамилия", "имя", r"отчество(?:\s*\(при\s+наличии\))?"))
+KEPT_COLUMN = r"(?:№|номер\b|отделени\w*|дата\b|направивш\w*|результат\w*|кабинет\w*|палат\w*|кем\b|пол\b|возраст\w*|диагноз\w*|наименовани\w*)"
+STRAY_SURNAME = I + rf"^(\s*){SURNAME}(?=\s{{2,}}{KEPT_COLUMN})"
+PATIENT_INLINE = U + r"\b([Пп]ациент\w*|[Бб]ольн\w*|[Пп]острадавш\w*)\s+((?:[А-ЯЁ][а-яё]+|[А-ЯЁ]\.)(?:\s*(?:[А-ЯЁ][а-яё]+|[А-ЯЁ]\.)){0,2})"
+PATRONYMIC_LINE = U + r"^\s*[А-ЯЁ][а-яёА-ЯЁ]+(?:ович|евич|иевич|ьевич|овна|евна|иевна|ьевна|инична|оглы|кызы)\s*$"
 PATIENT_LABEL_FIO = U + rf"\b((?iu:{PATIENT_ROLE})\s*[:\-]\s*)({SAFE_NAME}(?:{NAME_GAP}{SAFE_NAME}){{0,2}})"
 PATIENT_MARKER = I + rf"\b{PATIENT_ROLE}\s*[:\-]"
 STAFF_LABEL_VALUE = U + rf"((?iu:\b(?:фио\s+)?(?:лечащ\w+\s+)?{STAFF_ROLE}\b)(?:\s*:\s*|\s+[-\u2013\u2014]\s+))((?:[А-ЯЁ][а-яё]+|[А-ЯЁ]{{2,}}|[А-ЯЁ]\.)(?:{NAME_GAP}(?:[А-ЯЁ][а-яё]+|[А-ЯЁ]{{2,}}|[А-ЯЁ]\.)){{0,2}})"
@@ -138,6 +155,10 @@ OCR_UPPER_DEMOGRAPHICS = U + (
     r"\b[А-ЯЁ]{3,}(?:-[А-ЯЁ]{2,})?(?:\s+[А-ЯЁ]{3,}(?:-[А-ЯЁ]{2,})?){2}\s*[,;/\-]?\s*"
     rf"(?:(\d{{1,2}}\s*[.\-/]\s*\d{{1,2}}\s*[.\-/]\s*\d{{2,4}})(?:\s*[,;/\-]?\s*({OCR_UPPER_AGE}))?|({OCR_UPPER_AGE}))\b"
 )
+NAME_AFTER_FIO = U + r"(\[FIO\])([ \t\u00a0]+)([А-ЯЁ][А-Яа-яёЁ]{2,})"
+NAME_BEFORE_FIO = U + r"([А-ЯЁ][А-Яа-яёЁ]{2,})([ \t\u00a0]+)(\[FIO\])"
+PREFIX_OF_FIO = U + r"\b[А-ЯЁ][а-яё]{1,3}-\[FIO\]"
+PASSPORT_NUMBER_ONLY = I + r"^\s*(?:№|no\.?|номер)\s*[:\-]?\s*$"
 INITIAL_TOKEN = U + r"(?<![А-Яа-яЁё])[А-ЯЁ]\."
 PATRONYMIC_END = "(?Udi)(?:ович|евич|иевич|ьевич|ич|овна|евна|иевна|ьевна|ична|инична|оглы|кызы)$"
 NON_NAME_END = "(?Udi)(?:ый|ое|ые|ым|ому|ение|ения|ений|ание|ания|аний|ость|ости|ство|ства|ура|уры)$"
@@ -227,3 +248,20 @@ FIO_KINDS = ("ФИО-ТРИПЛЕТ", "ФИО-ИНИЦИАЛЫ", "ФИО-КАП
 TEXT_FORMATS = (".txt", ".docx", ".rtf", ".odt", ".odg", ".xlsx", ".xlsm")
 IMAGE_FORMATS = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".webp")
 PHASES = {"ocr": (0.05, 0.48), "anonymize": (0.05, 0.48), "finalize": (0.54, 0.10), "render": (0.66, 0.21), "audit": (0.89, 0.09)}
+#: Labels that stand alone on a line, and the tag of the value on the next line that is not blank.
+LABEL_LINES = (
+    ("SNILS", I + rf"^{ITEM}снилс\b\s*[:\-]?\s*$"),
+    ("WORKPLACE", I + rf"^{ITEM}место\s+работы\b(?:\s*[,/]?\s*должность\b)?\s*[:\-]?\s*$"),
+    ("POSITION", I + rf"^{ITEM}должность\b\s*[:\-]?\s*$"),
+    ("AGE", I + rf"^{ITEM}(?:дата\s*рождения(?:\s*,\s*возраст)?|возраст|лет)\b\s*[:\-]?\s*$"),
+    ("FIO", FIO_LABEL_ONLY),
+    ("FIO", I + rf"^{ITEM}(?:фамилия|имя|отчество(?:\s*\(при\s+наличии\))?)\s*[:\-]?\s*$"),
+    ("FIO", STAFF_LABEL_ONLY),
+    ("PASSPORT", I + r"^\s*серия\s*[:\-]?\s*$"),
+    ("MEDICAL_RECORD", CARD_LABEL_ONLY),
+)
+STAGE_WORDS = {
+    "Чтение документа": "Чтение", "Распознавание скана": "Распознавание", "Извлечение и обезличивание": "Анализ", "Создание нового PDF": "Сборка PDF",
+    "Подготовка документа": "Подготовка", "Документ готов": "Готово", "Ошибка документа": "Ошибка",
+}
+STATUS_WORDS = {"": "Ожидает", "active": "Анализ", "done": "Обезличено", "review": "Проверить", "failed": "Ошибка"}

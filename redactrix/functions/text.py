@@ -51,9 +51,10 @@ def unify_controls(x: Column) -> Column:
 
 
 def sanitize(x: Column) -> Column:
-    """unify_controls, and composed characters; Python is asked only where a combining mark can be."""
+    """unify_controls, and composed characters; Python gets null for every text where no combining mark can be."""
     flat = unify_controls(x)
-    return F.when(flat.rlike(r"[\p{M}\u1100-\u11FF\u2126\u212A\u212B\uF900-\uFAFF]"), _nfc(flat)).otherwise(flat)
+    marked = flat.rlike(r"[\p{M}\u1100-\u11FF\u2126\u212A\u212B\uF900-\uFAFF]")
+    return F.coalesce(_nfc(F.when(marked, flat)), flat)
 
 
 def layout_line(x: Column) -> Column:

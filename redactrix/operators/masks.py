@@ -100,10 +100,23 @@ def birth_date_by_fio(x: Column, force: Column, as_of: dt.date = dates.AS_OF) ->
 
 
 def fio_labels(x: Column) -> Column:
-    """Whole values of name fields."""
-    for pattern in (P.FIO_INLINE_LABEL, *P.NAME_PART_LABELS):
-        x = rr(x, pattern, "$1[FIO]")
-    return x
+    """The whole value of the first name field that the line is."""
+    out = x
+    for pattern in reversed((P.FIO_INLINE_LABEL, P.FIO_NO_COLON, *P.NAME_PART_LABELS, *P.NAME_PART_TABLES)):
+        out = F.when(x.rlike(pattern), rr(x, pattern, "$1[FIO]")).otherwise(out)
+    return out
+
+
+def ocr_fio(x: Column) -> Column:
+    """Names in a field whose colon or capitals were lost in recognition, up to the next field."""
+    return rr(x, P.OCR_FIO_LABEL, "$1[FIO]")
+
+
+def whole_fio(x: Column) -> Column:
+    """A line that is a name and nothing else; in capitals only if it is no organisation or study."""
+    names = x.rlike(P.FIO_LINES[0]) | x.rlike(P.FIO_LINES[1]) | x.rlike(P.FIO_LINES[2]) | x.rlike(P.PATRONYMIC_LINE)
+    capitals = (x.rlike(P.FIO_LINES[3]) | x.rlike(P.FIO_LINES[4])) & ~is_not_fio(x)
+    return F.when(~x.rlike(P.CLINICAL_LINE) & (names | capitals), "[FIO]").otherwise(x)
 
 
 def patient_fio(x: Column) -> Column:
@@ -127,6 +140,42 @@ def inline_fio(x: Column) -> Column:
     return x
 
 
+def patient_inline(x: Column) -> Column:
+    """A surname alone before a column that is kept, then names after a patient's role in a sentence."""
+
+    def decide(m: Column, head: Column, name: Column) -> Column:
+        words = F.split(strip(name), r"(?U)\s+")
+        return F.when(~is_not_fio(name) & ((F.size(words) >= 2) | F.exists(words, is_strong_name)), F.concat(head, F.lit(" [FIO]"))).otherwise(m)
+
+    return sub_each(rr(x, P.STRAY_SURNAME, "$1[FIO]"), P.PATIENT_INLINE, decide, 2)
+
+
+def birth_fields(x: Column, as_of: dt.date = dates.AS_OF) -> Column:
+    """Lines of a birth date or an age without a colon, in a table, in words, or behind other text: the age they give."""
+    age = lambda rest: F.coalesce(dates.find_age(rest, as_of), F.lit(dates.UNKNOWN))
+    split = lambda m, head, d, month, y: F.concat(head, age(F.concat_ws(" ", d, month, y)))
+    x = sub_each(x, P.DOB_AGE_ROW, lambda m, head, day, said: F.concat(head, said), 3)
+    x = sub_each(x, P.DOB_SPLIT, split, 4)
+
+    def rest_of(t: Column, pattern: str, when: Column, between: str = "") -> Column:
+        return F.when(t.rlike(pattern) & when, F.concat(F.regexp_extract(t, pattern, 1), F.lit(between), age(F.regexp_extract(t, pattern, 2)))).otherwise(t)
+
+    x = let(x, lambda t: rest_of(t, P.DOB_TABLE, F.lit(True)))
+    x = let(x, lambda t: rest_of(t, P.DOB_LABEL_REST, ~F.regexp_extract(t, P.DOB_LABEL_REST, 2).rlike(P.FIELD_INSIDE)))
+    x = let(x, lambda t: rest_of(t, P.DOB_LINE, F.regexp_extract(t, P.DOB_LINE, 2).rlike(P.ANY_RAW_DATE), " "))
+    return let(x, lambda t: rest_of(t, P.AGE_INLINE, F.lit(True)))
+
+
+def dob_with_age(x: Column, as_of: dt.date = dates.AS_OF) -> Column:
+    """A date beside a stated age that fits it within a year, on a line about a person: the age alone."""
+
+    def decide(m: Column, said: Column) -> Column:
+        gap = F.abs(F.lit(as_of.year) - F.year(dates.birth_day(m, as_of)) - F.regexp_extract(said, r"\d{1,3}", 0).cast("int"))
+        return F.when(F.coalesce(gap <= 1, F.lit(False)), said).otherwise(m)
+
+    return let(x, lambda t: F.when(t.rlike(P.AGE_CONTEXT), sub_each(t, P.DOB_WITH_AGE, decide, 1)).otherwise(t))
+
+
 def staff(x: Column) -> Column:
     return rr(x, P.STAFF_LABEL_VALUE, "$1[FIO]")
 
@@ -145,30 +194,39 @@ def heuristic_address(x: Column) -> Column:
     return F.when(looks_like_address(x) & ~x.contains("[ADDRESS]"), F.concat(F.regexp_extract(x, r"(?U)^\s*", 0), F.lit("[ADDRESS]"))).otherwise(x)
 
 
+#: What a line must hold for a family of rules to be tried at all.
+CYRILLIC, DIGIT, MAIL = r"[А-Яа-яЁё]", r"(?U)\d", "@"
+
+
 def line_rules() -> tuple:
-    """name, guard over a line's flags (None: always), mask. The order is part of the meaning."""
+    """name, gate (what the line must hold), guard over its flags (None: always), mask. The order is part of the meaning."""
+    plain = ~F.col("doctor") & ~F.col("study")
     return (
-        ("patient_fio", None, patient_fio),
-        ("fio_labels", None, fio_labels),
-        ("inline_fio", ~F.col("doctor") & ~F.col("study"), inline_fio),
-        ("passport", F.col("passport"), lambda x: passports(x, F.lit(True))),
-        ("birth_dates", None, birth_dates),
-        ("by_fio", ~F.col("study_signature"), lambda x: birth_date_by_fio(x, x.rlike(P.PATIENT_MARKER))),
-        ("work", None, work),
-        ("addresses", None, addresses),
-        ("address_line", ~F.col("study"), heuristic_address),
-        ("records", None, lambda x: leading_record(records(x))),
-        ("global", None, lambda x: global_masks(x, F.col("after_card_label"))),
-        ("enp", None, mask_enp),
-        ("birth_years", None, birth_years),
-        ("staff", None, staff),
-        ("certificates", None, certificates),
+        ("patient_fio", CYRILLIC, None, patient_fio),
+        ("ocr_fio", CYRILLIC, None, ocr_fio),
+        ("whole_fio", CYRILLIC, plain, whole_fio),
+        ("fio_labels", CYRILLIC, None, fio_labels),
+        ("inline_fio", CYRILLIC, plain, inline_fio),
+        ("patient_inline", CYRILLIC, plain, patient_inline),
+        ("passport", DIGIT, F.col("passport"), lambda x: passports(x, F.lit(True))),
+        ("birth_dates", DIGIT, None, birth_dates),
+        ("birth_fields", DIGIT, None, birth_fields),
+        ("by_fio", DIGIT, ~F.col("study_signature"), lambda x: birth_date_by_fio(x, x.rlike(P.PATIENT_MARKER))),
+        ("work", CYRILLIC, None, work),
+        ("addresses", CYRILLIC, None, addresses),
+        ("address_line", CYRILLIC, ~F.col("study"), heuristic_address),
+        ("records", DIGIT, None, lambda x: leading_record(records(x))),
+        ("global", DIGIT + "|" + MAIL + "|" + CYRILLIC, None, lambda x: global_masks(x, F.col("after_card_label"))),
+        ("enp", DIGIT, None, mask_enp),
+        ("birth_years", DIGIT, None, birth_years),
+        ("staff", CYRILLIC, None, staff),
+        ("certificates", DIGIT, None, certificates),
     )
 
 
 def apply_line_rules(lines: DataFrame, column: str) -> DataFrame:
     """All line rules on a column, in order, a projection for each; rows hold the flags doctor, study, passport, study_signature and after_card_label."""
-    for _, guard, mask in line_rules():
-        new = mask(F.col(column))
-        lines = lines.withColumn(column, new if guard is None else F.when(guard, new).otherwise(F.col(column)))
+    for _, gate, guard, mask in line_rules():
+        open_ = F.col(column).rlike(gate)
+        lines = lines.withColumn(column, F.when(open_ if guard is None else guard & open_, mask(F.col(column))).otherwise(F.col(column)))
     return lines
