@@ -67,8 +67,10 @@ def records(x: Column) -> Column:
     return rr(rr(x, P.RECORD_HEADER, "$1[MEDICAL_RECORD]"), P.RECORD_INLINE, "$1$2[MEDICAL_RECORD]")
 
 
-def leading_record(x: Column) -> Column:
-    return F.when((digits_count(F.regexp_extract(x, P.LEADING_RECORD, 2)) >= 3) & ~x.rlike(P.NOT_CARD_NUMBER), rr(x, P.LEADING_RECORD, "$1[MEDICAL_RECORD]$3")).otherwise(x)
+def leading_record(x: Column, under_header: Column | None = None) -> Column:
+    """A number that begins the line: of three digits or more, or any under the header of a medical card."""
+    sure = is_card_number_line(x)
+    return F.when(sure if under_header is None else sure | under_header, rr(x, P.LEADING_RECORD, "$1[MEDICAL_RECORD]$3")).otherwise(x)
 
 
 def certificates(x: Column) -> Column:
@@ -215,7 +217,7 @@ def line_rules() -> tuple:
         ("work", CYRILLIC, None, work),
         ("addresses", CYRILLIC, None, addresses),
         ("address_line", CYRILLIC, ~F.col("study"), heuristic_address),
-        ("records", DIGIT, None, lambda x: leading_record(records(x))),
+        ("records", DIGIT, None, lambda x: leading_record(records(x), F.col("card_header"))),
         ("global", DIGIT + "|" + MAIL + "|" + CYRILLIC, None, lambda x: global_masks(x, F.col("after_card_label"))),
         ("enp", DIGIT, None, mask_enp),
         ("birth_years", DIGIT, None, birth_years),
@@ -225,7 +227,7 @@ def line_rules() -> tuple:
 
 
 def apply_line_rules(lines: DataFrame, column: str) -> DataFrame:
-    """All line rules on a column, in order, a projection for each; rows hold the flags doctor, study, passport, study_signature and after_card_label."""
+    """All line rules on a column, in order, a projection for each; rows hold the flags doctor, study, passport, study_signature, after_card_label and card_header."""
     for _, gate, guard, mask in line_rules():
         open_ = F.col(column).rlike(gate)
         lines = lines.withColumn(column, F.when(open_ if guard is None else guard & open_, mask(F.col(column))).otherwise(F.col(column)))
