@@ -341,10 +341,10 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text; ids not null and unique) with ``spans``, all places to remove."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * partitions, bucket_count(docs, BUCKET))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), bucket_count(docs, BUCKET))
     marks = scratch.write(_deal_runs(docs, buckets).groupBy("bucket").applyInArrow(_meet, MARKS), "marks")
-    dealt = docs.repartition(partitions, "doc_id")
+    # no number of partitions: small ones are put together as measured, and so make few files
+    dealt = docs.repartition("doc_id")
     asked = scratch.again(marks).filter(F.col("kind") != REMOVE).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("begin", "end", "anchor", "kind")).alias("marks"))
     pieces = dealt.join(asked, "doc_id").select("doc_id", "text", "marks").mapInArrow(_deal_pieces(buckets), "bucket int, pieces binary, data binary")
     shared = pieces.groupBy("bucket").applyInArrow(_sort_bucket, "doc long, begin int, end int")
