@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactrix.functions import patterns as P
-from redactrix.functions.text import wrap
+from redactrix.functions.text import wrap_lines
+from redactrix.operators.lines import dealt
 
 DOT = "  ·  "
 #: Dots an inch of a page that is recognised, and pixels of its longest side at most; least confidence of a page.
@@ -105,8 +106,8 @@ def rendered(pages: DataFrame, columns: int = 100, height: float = 842.0, size:
     top, step, bottom, n = margin + size, size * 1.35, height - margin, 1
     while top + n * step <= bottom:
         n += 1
-    lines = F.flatten(F.transform(F.split("text", "\n", -1), lambda x: wrap(x, columns)))
+    lines = wrap_lines(F.col("text"), columns)
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("lines") / n), F.lit(1)).cast("int") - 1), lambda k: F.array_join(F.slice(F.col("lines"), k * n + 1, n), "\n"))
     sheets = F.sort_array(F.collect_list(F.struct("page_no", "sheets")))
-    whole = pages.select("doc_id", "page_no", lines.alias("lines")).select("doc_id", "page_no", cut.alias("sheets")).groupBy("doc_id").agg(F.flatten(F.transform(sheets, lambda p: p["sheets"])).alias("all"))
+    whole = dealt(pages.select("doc_id", "page_no", "text"), "doc_id").select("doc_id", "page_no", lines.alias("lines")).select("doc_id", "page_no", cut.alias("sheets")).groupBy("doc_id").agg(F.flatten(F.transform(sheets, lambda p: p["sheets"])).alias("all"))
     return whole.select("doc_id", F.posexplode("all").alias("sheet", "text")).withColumn("sheet", F.col("sheet") + 1)
